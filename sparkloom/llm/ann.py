@@ -134,7 +134,8 @@ def search(df: DataFrame, is_query, p: AnnParams = AnnParams(), id_col: str = "v
     low = 1.0 if n <= size else max(lowest["u"].to_pylist())  # the sample is all rows below it
     lowest = lowest.filter(pa.compute.less(lowest["u"], low))
     sample_ids, sample = lowest["id"].to_numpy(), _matrix(lowest["vec"])
-    if not len(sample):  # as many copies of one id as the sample has rows
+    sampled = len(sample) > 0
+    if not sampled:  # as many copies of one id as the sample has rows
         sample, low = np.zeros((1, dim)), 0.0
         sample_ids = np.full(1, -1)
     r = rotation(sample, p)
@@ -180,10 +181,10 @@ def search(df: DataFrame, is_query, p: AnnParams = AnnParams(), id_col: str = "v
         got = queries.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)) == block).toArrow()
         q_ids, q = got["id"].to_numpy(), _matrix(got["vec"])
         score = _matrix(got["near_score"])
-        floor = score[:, -1].copy() if score.shape[1] == p.k else np.full(len(q), -np.inf)
+        floor = score[:, -1].copy() if sampled and score.shape[1] == p.k else np.full(len(q), -np.inf)
         flat = F.explode(F.arrays_zip("near", "near_score")).alias("x")
         top = queries.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)) == block).select(F.col("id").alias("query_id"), flat).select("query_id", F.col("x.near").alias("vec"), F.col("x.near_score").alias("score"))
-        top = table(top.where(F.col("score") > float("-inf")).withColumn("rank", F.row_number().over(order)), "top")
+        top = table(top.where((F.col("score") > float("-inf")) & F.lit(sampled)).withColumn("rank", F.row_number().over(order)), "top")
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             sent_q = spark.sparkContext.broadcast((q_ids, q, floor))
 
