@@ -27,11 +27,11 @@ class ToxicityParams:
     bits: int = 20
     #: At most so many labelled documents are fitted, those with the smallest hash of the id.
     max_train_docs: int = 12_000
-    epochs: int = 3
-    alpha: float = 0.1
+    epochs: int = 5
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
+    l1: float = 12.0
+    l2: float = 0.1
     threshold: float = 0.3
 
 
