@@ -81,10 +81,10 @@ def word_counts(docs: DataFrame, p: HmmParams) -> DataFrame:
                 u, first, n = np.unique(w.hash, return_index=True, return_counts=True)
                 held.append((u, affixes(w, p.affix_symbols)[first], n))
                 size += len(u)
-            if size > 3_000_000:
+            if size > 1_000_000:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 1_500_000:
+                if size > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1]), pa.array(held[0][2])], names=["h", "affix", "c"])
                     held, size = [], 0
         if ends:

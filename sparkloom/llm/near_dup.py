@@ -7,7 +7,7 @@ by likelihood, and pairs that the likelihood does not rule out are confirmed on
 
 Sets that are equal (128-bit sums over the distinct shingles and the size) are one class, compared once
 through its smallest id. Classes are linked in rounds, so a bucket of any size costs about its number of
-rows: (1) each class against one pivot of its buckets; (2) twice, in buckets that still span several
+rows: (1) each class against the pivot that most of its buckets have; (2) twice, in buckets that still span several
 components, each class against its best estimated partner of another component; (3) all pairs of different
 components that remain plausible, in blocks, each pair in the first band that it shares. Nothing is capped.
 
@@ -236,11 +236,16 @@ def _open_buckets(buckets: DataFrame, classes: DataFrame, labels: DataFrame | No
     else:
         b = b.withColumn("comp", F.col("id"))
     b = table(b, "buckets")
-    wide = table(b.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"), "wide")
+    per = b.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    wide = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("k")).where("k > 1")
+    wide = table(wide.select("key", F.col("m.comp").alias("main"), F.ceil(F.col("m.n") / p.block).cast("int").alias("mains"), F.ceil((F.col("size") - F.col("m.n")) / p.block).cast("int").alias("others")), "wide")
     b = b.join(wide, "key")
-    n = F.ceil(F.col("size") / p.block).cast("int")
-    b = b.withColumn("blk", F.pmod(F.xxhash64("id", F.lit(5)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    b = b.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other"))
+    # the bucket's largest component needs no pairs of its own: its blocks come first and meet the others' blocks only
+    own = F.col("comp") == F.col("main")
+    turn = F.xxhash64("id", F.lit(5))
+    b = b.withColumn("blk", F.when(own, F.pmod(turn, F.col("mains"))).otherwise(F.col("mains") + F.pmod(turn, F.col("others"))).cast("int"))
+    meets = F.when(own, F.sequence(F.col("mains"), F.col("mains") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1))
+    b = b.withColumn("other", F.explode(meets)).withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other"))
     return b.join(classes.select("id", F.col("n_shingles").alias("n"), "regs"), "id")
 
 
@@ -253,15 +258,18 @@ def link(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc
     reg = F.col("regs")
     keys = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.xxhash64(i, F.substring(reg, i * (2 * p.rows) + 1, F.lit(2 * p.rows))))
     banded = classes.select("id", F.posexplode(keys).alias("band", "key"))
-    shared = table(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot"), "shared")
-    buckets = table(banded.join(shared, "key").select("id", "band", "key", "pivot"), "buckets")
+    shared = table(banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"), "shared")
+    buckets = table(banded.join(shared, "key").select("id", "band", "key", "size"), "buckets")
 
     # the texts of classes that share a bucket, as sets
     need = table(buckets.select("id").distinct(), "need")
     few = need.count() <= p.broadcast_ids
     sets = table(_sets(d.join(F.broadcast(need) if few else need, "id", "left_semi").select("id", "text"), p), "sets")
 
-    per = buckets.where("id <> pivot").groupBy("id", "pivot").count()
+    # a bucket's pivot is its member in the fullest buckets: of copies of one original, most likely the original
+    weight = table(buckets.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
+    pivots = buckets.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("m"))).alias("x")).select("key", (-F.col("x.m")).alias("pivot"))
+    per = buckets.join(table(pivots, "pivots"), "key").where("id <> pivot").groupBy("id", "pivot").count()
     best = per.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("count", (-F.col("pivot")).alias("p"))).alias("m")).select((-F.col("m.p")).alias("a"), "b")
     # an id with several texts ties its classes together
     ties = some.groupBy("id").agg(F.countDistinct("fp").alias("k")).where("k > 1").select("id")
