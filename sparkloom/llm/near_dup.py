@@ -9,7 +9,8 @@ Sets that are equal (128-bit sums over the distinct shingles and the size) are o
 through its smallest id. Classes are linked in rounds, so a bucket of any size costs about its number of
 rows: (1) each class against the pivot that most of its buckets have; (2) twice, in buckets that still span several
 components, each class against its best estimated partner of another component; (3) all pairs of different
-components that remain plausible, in blocks, each pair in the first band that it shares. Nothing is capped.
+components that remain plausible, in blocks, each pair in the first band that it shares; such pairs travel
+packed, and the sets of two groups of classes meet once for all their pairs. Nothing is capped.
 
 With 32 bands of 5 registers a pair at similarity 0.8 shares no bucket with probability 3e-6.
 
@@ -151,13 +152,25 @@ def _estimates(ra, rb, na, nb, p: NearDupParams) -> tuple[np.ndarray, np.ndarray
 
 
 def _bucket_pairs(members: DataFrame, p: NearDupParams, every: bool) -> DataFrame:
-    """(a, b, est): plausible pairs of different components in one bucket, or each member's best such partner.
+    """Plausible pairs of different components in one bucket, each in the first band that it shares.
 
-    members: key, bi, bj, blk, band, id, n, comp, regs. Rows of (key, bi, bj) are together and sorted; a
-    group holds two blocks at most, so one step's memory is bounded.
+    Each member's best such partner as (a, b, est), or with `every` all pairs, packed: a row for each pair
+    of homes (ha <= hb) that a step has met, with the ids of its pairs in one binary.
+
+    members: key, bi, bj, blk, band, id, n, comp, home, regs. Rows of (key, bi, bj) are together and sorted;
+    a group holds two blocks at most, so one step's memory is bounded.
     """
 
-    def solve(group, blk, bi, bj, band, ids, n, comp, regs):
+    def packed(a, b, ha, hb):
+        swap = (ha > hb) | ((ha == hb) & (a > b))
+        a, b, ha, hb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, hb, ha), np.where(swap, ha, hb)
+        order = np.lexsort((hb, ha))
+        a, b, ha, hb = a[order], b[order], ha[order], hb[order]
+        first = np.flatnonzero(np.concatenate([[True], (ha[1:] != ha[:-1]) | (hb[1:] != hb[:-1])])) if len(a) else np.zeros(0, np.int64)
+        both = np.stack([a, b], 1)
+        return pa.RecordBatch.from_arrays([pa.array(ha[first], pa.int64()), pa.array(hb[first], pa.int64()), pa.array([both[i:j].tobytes() for i, j in zip(first, [*first[1:], len(a)], strict=True)], pa.binary())], names=["ha", "hb", "pairs"])
+
+    def solve(group, blk, bi, bj, band, ids, n, comp, home, regs):
         out = []
         # row i against the rows d further on, within the group
         size = np.bincount(group)
@@ -176,11 +189,13 @@ def _bucket_pairs(members: DataFrame, p: NearDupParams, every: bool) -> DataFram
             i, k = i[new], k[new]
             if len(i):
                 est, fits = _estimates(ra[new], rb[new], n[i], n[k], p)
-                out.append((ids[i][fits], ids[k][fits], est[fits]))
+                out.append((ids[i][fits], ids[k][fits], est[fits], home[i][fits], home[k][fits]))
         if not out:
             return None
-        a, b, est = (np.concatenate(x) for x in zip(*out, strict=True))
-        if not every and len(a):
+        a, b, est, ha, hb = (np.concatenate(x) for x in zip(*out, strict=True))
+        if every:
+            return packed(a, b, ha, hb)
+        if len(a):
             x, y, e = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([est, est])
             order = np.lexsort((y, -e, x))
             x, y, e = x[order], y[order], e[order]
@@ -196,7 +211,7 @@ def _bucket_pairs(members: DataFrame, p: NearDupParams, every: bool) -> DataFram
             c = [t.column(x).to_numpy() for x in ("key", "bi", "bj")]
             new = np.concatenate([[False], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])])
             regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(t.num_rows, p.m)
-            return solve(np.cumsum(new), t.column("blk").to_numpy(), c[1], c[2], t.column("band").to_numpy(), t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("comp").to_numpy(), regs)
+            return solve(np.cumsum(new), t.column("blk").to_numpy(), c[1], c[2], t.column("band").to_numpy(), t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("comp").to_numpy(), t.column("home").to_numpy(), regs)
 
         def flush(all_of_it: bool):
             nonlocal held, rows
@@ -224,18 +239,64 @@ def _bucket_pairs(members: DataFrame, p: NearDupParams, every: bool) -> DataFram
             if out is not None:
                 yield out
 
-    columns = ["key", "bi", "bj", "blk", "band", "id", "n", "comp", "regs"]
-    return members.select(columns).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id").mapInArrow(run, "a long, b long, est double")
+    columns = ["key", "bi", "bj", "blk", "band", "id", "n", "comp", "home", "regs"]
+    schema = "ha long, hb long, pairs binary" if every else "a long, b long, est double"
+    return members.select(columns).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id").mapInArrow(run, schema)
+
 
+def _confirm_packed(packed: DataFrame, sets: DataFrame, homes: DataFrame, labels: DataFrame, p: NearDupParams) -> DataFrame:
+    """Links (a, b) among packed pairs. The sets of two homes go to their pairs once; pairs are never rows.
 
-def _open_buckets(buckets: DataFrame, classes: DataFrame, labels: DataFrame | None, p: NearDupParams) -> DataFrame:
+    A pair of documents that earlier links of the step have joined is not compared again.
+    """
+    packed = table(packed, "packed")
+    meet = table(packed.select("ha", "hb").distinct(), "meet")
+    owned = sets.join(homes, "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("home", "id", "items", F.coalesce("label", "id").alias("comp"))
+    sides = meet.select("ha", "hb", F.explode(F.array_distinct(F.array("ha", "hb"))).alias("home"))
+    nothing = F.lit(None)
+    rows = sides.join(owned, "home").select("ha", "hb", F.lit(0).alias("kind"), "id", "comp", "items")
+    rows = rows.union(packed.select("ha", "hb", F.lit(1), nothing.cast("long"), nothing.cast("long"), "pairs"))
+
+    def run(batches):
+        at, found, comp, parent = None, {}, {}, {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            a, b = [], []
+            ha, hb, kind, ids, comps, data = batch.columns
+            for i, where in enumerate(zip(ha.to_numpy(), hb.to_numpy(), strict=True)):
+                if where != at:
+                    at, found, comp, parent = where, {}, {}, {}
+                if kind[i].as_py() == 0:
+                    found[ids[i].as_py()] = data[i].as_py()
+                    comp[ids[i].as_py()] = comps[i].as_py()
+                    continue
+                for x, y in np.frombuffer(data[i].as_py(), np.int64).reshape(-1, 2).tolist():
+                    rx, ry = root(comp[x]), root(comp[y])
+                    if rx == ry:
+                        continue
+                    for k in (x, y):
+                        if isinstance(found[k], bytes):
+                            found[k] = _open(found[k])
+                    u, v = found[x], found[y]
+                    s = np.sort(np.concatenate([u, v]), kind="stable")
+                    common = int((s[1:] == s[:-1]).sum())
+                    if 100 * common >= p.percent * (len(s) - common):
+                        parent[rx] = ry
+                        a.append(x), b.append(y)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition("ha", "hb").sortWithinPartitions("ha", "hb", "kind").mapInArrow(run, "a long, b long")
+
+
+def _open_buckets(buckets: DataFrame, classes: DataFrame, labels: DataFrame, homes: DataFrame, p: NearDupParams) -> DataFrame:
     """Members of the buckets that span several components, dealt to pairs of blocks, with their registers."""
-    b = buckets
-    if labels is not None:
-        b = b.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
-    else:
-        b = b.withColumn("comp", F.col("id"))
-    b = table(b, "buckets")
+    b = table(buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label"), "buckets")
     per = b.groupBy("key", "comp").agg(F.count("*").alias("n"))
     wide = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("k")).where("k > 1")
     wide = table(wide.select("key", F.col("m.comp").alias("main"), F.ceil(F.col("m.n") / p.block).cast("int").alias("mains"), F.ceil((F.col("size") - F.col("m.n")) / p.block).cast("int").alias("others")), "wide")
@@ -246,7 +307,7 @@ def _open_buckets(buckets: DataFrame, classes: DataFrame, labels: DataFrame | No
     b = b.withColumn("blk", F.when(own, F.pmod(turn, F.col("mains"))).otherwise(F.col("mains") + F.pmod(turn, F.col("others"))).cast("int"))
     meets = F.when(own, F.sequence(F.col("mains"), F.col("mains") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1))
     b = b.withColumn("other", F.explode(meets)).withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other"))
-    return b.join(classes.select("id", F.col("n_shingles").alias("n"), "regs"), "id")
+    return b.join(classes.select("id", F.col("n_shingles").alias("n"), "regs"), "id").join(homes, "id")
 
 
 def link(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,6 +332,11 @@ def link(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc
     pivots = buckets.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("m"))).alias("x")).select("key", (-F.col("x.m")).alias("pivot"))
     per = buckets.join(table(pivots, "pivots"), "key").where("id <> pivot").groupBy("id", "pivot").count()
     best = per.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("count", (-F.col("pivot")).alias("p"))).alias("m")).select((-F.col("m.p")).alias("a"), "b")
+    best = table(best, "best")
+    # homes: classes with one pivot, in blocks; most plausible pairs lie within a home or between few
+    near = need.join(best.select(F.col("b").alias("id"), "a"), "id", "left").select("id", F.coalesce("a", "id").alias("pivot"))
+    parts = near.groupBy("pivot").agg(F.ceil(F.count("*") / p.block).alias("parts"))
+    homes = table(near.join(parts, "pivot").select("id", F.xxhash64("pivot", F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts"))).alias("home")), "homes")
     # an id with several texts ties its classes together
     ties = some.groupBy("id").agg(F.countDistinct("fp").alias("k")).where("k > 1").select("id")
     rep = classes.select("fp", "n_shingles", F.col("id").alias("rep"))
@@ -279,14 +345,16 @@ def link(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc
     labels = components(links)
 
     for every in (False, False, True):
-        members = _open_buckets(buckets, classes, labels, p)
-        found = _bucket_pairs(members, p, every)
-        if not every:
+        found = _bucket_pairs(_open_buckets(buckets, classes, labels, homes, p), p, every)
+        if every:
+            new = _confirm_packed(found, sets, homes, labels, p)
+        else:
             found = found.groupBy("a").agg(F.max(F.struct("est", (-F.col("b")).alias("m"))).alias("x")).select("a", (-F.col("x.m")).alias("b"))
-        pairs = table(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        if not pairs.limit(1).count():
-            break
-        new = table(_confirm(pairs, sets, p), "links")
+            pairs = table(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+            if not pairs.limit(1).count():
+                break  # no plausible pair is left
+            new = _confirm(pairs, sets, p)
+        new = table(new, "links")
         if new.limit(1).count():
             links = table(links.union(new), "links")
             labels = components(links)
