@@ -369,7 +369,7 @@ def test_ann_awkward(spark):
     many = spark.createDataFrame([(i, [1.0, float(i % 7)]) for i in range(400)], "vec_id long, embedding array<double>")
     r = ann.search(many, lambda c: c % 20 == 0, ann.AnnParams(sample=50, query_block=8)).collect()
     assert len(r) == 400 and {x["vec_id"] for x in r if x["query_id"] == 0} == set(range(1, 21))  # all tie at 1
-    assert {x["vec_id"] for x in r if x["query_id"] == 20} == set(range(6, 141, 7)) - {20}
+    assert {x["vec_id"] for x in r if x["query_id"] == 20} == set(range(6, 147, 7)) - {20}
 
 
 def test_mixing_meets_marginals(spark):
