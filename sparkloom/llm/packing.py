@@ -180,8 +180,9 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> Slots:
 def pack(docs: DataFrame, tokenizer: Tokenizer, p: PackingParams = PackingParams(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    t = table(tokenised(pick(docs, id=id_col, text=text), tokenizer, p), "tokens")
-    pieces = t.select("id", "doc_tokens", F.spark_partition_id().alias("part"), F.posexplode("crcs").alias("k", "ids_crc32"))
+    # the part is stored: a scan's own splits change with the number of executors, and ranks need the same parts in two jobs
+    t = table(tokenised(pick(docs, id=id_col, text=text), tokenizer, p).withColumn("part", F.spark_partition_id()), "tokens")
+    pieces = t.select("id", "doc_tokens", "part", F.posexplode("crcs").alias("k", "ids_crc32"))
     start = F.col("k").cast("long") * p.window
     pieces = pieces.select("id", start.alias("start"), F.least(F.lit(p.window).cast("long"), F.col("doc_tokens") - start).alias("length"), "ids_crc32", "doc_tokens", "part")
     counts = table(pieces.groupBy("part", "length").count(), "counts")
