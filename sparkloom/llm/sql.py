@@ -1,3 +1,23 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # sets of equal content are compared once; sets that reach the threshold share one of the rarest shingles of each
+    "op10_setsketch_dedup": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from words),
+sizes as (select doc_id, len(s)::bigint as n from sets),
+classes as (select min(doc_id) as id, any_value(s) as s from (select doc_id, list_sort(s) as s from sets where len(s) > 0) group by md5(s::varchar)),
+items as (select id, len(s) as n, unnest(s) as x from classes),
+ranked as (select id, n, x, row_number() over (partition by id order by f, x) as k from items join (select x, count(*) as f from items group by 1) using (x)),
+rare as (select id, n, x from ranked where k <= n - (4 * n + 4) // 5 + 1),
+near as (select distinct a.id as a, b.id as b from rare a join rare b on a.x = b.x and a.id < b.id where a.n * 100 >= 80 * b.n and b.n * 100 >= 80 * a.n),
+links as (select a, b from near join classes p on p.id = a join classes q on q.id = b where 100 * len(list_intersect(p.s, q.s)) >= 80 * (len(p.s) + len(q.s) - len(list_intersect(p.s, q.s)))),
+dual as (select a, b from links union all select b, a from links),
+reach(root, id) as (select id as root, id from classes union select root, b from reach join dual on a = id where b > root),
+least_ as (select id, min(root) as c from (select * from reach) group by 1),
+member as (select doc_id, min(doc_id) over (partition by md5(list_sort(s)::varchar)) as id from sets where len(s) > 0)
+select d.doc_id, n as n_shingles, coalesce(c, d.doc_id) as component_id, coalesce(c, d.doc_id) = d.doc_id as kept from sizes d left join member m on m.doc_id = d.doc_id left join least_ on least_.id = m.id
+""",
+}

@@ -440,3 +440,18 @@ def test_licenses(spark):
     docs = [(r["doc_id"], f"{r['source']}/{r['lang']}/{r['doc_id']}", r["text"]) for r in read(spark, SF, "documents").collect()]
     assert {r["doc_id"]: (r["license"], r["origin"]) for r in queries.op1_license_scan(spark, SF).collect()} == brute_licenses(docs)
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from sparkloom.llm import queries as llm_queries
+    from sparkloom.llm import sql as llm_sql
+
+    con = duckdb.connect()
+    con.sql("create view documents as select * from read_parquet('/root/testdata/sf0.01/documents.parquet')")
+    for name, text in llm_sql.SQL.items():
+        got = llm_queries.QUERIES[name](spark, "/root/testdata/sf0.01")
+        want = con.sql(text)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
