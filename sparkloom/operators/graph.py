@@ -45,6 +45,19 @@ def references(edges: DataFrame, nodes: DataFrame, symbol: str) -> DataFrame:
     return callers.join(nodes, "id").dropDuplicates(["id"])
 
 
+def called_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src, names: the labels that each caller calls, each once, in order."""
+    e = edges.where("relation = 'calls'").select("src", F.col("dst").alias("id")).join(nodes.select("id", "label"), "id")
+    return e.groupBy("src").agg(F.array_sort(F.collect_set("label")).alias("names"))
+
+
+def import_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src, dst, src_path, dst_path of imports between nodes that both have a path."""
+    p = nodes.where("path is not null").select("id", "path")
+    e = edges.where("relation = 'imports'").select("src", "dst")
+    return e.join(p.select(F.col("id").alias("src"), F.col("path").alias("src_path")), "src").join(p.select(F.col("id").alias("dst"), F.col("path").alias("dst_path")), "dst")
+
+
 def start_nodes(nodes: DataFrame, symbols: DataFrame, files: DataFrame, text: str) -> DataFrame:
     """The node of that id, or candidates by label."""
     by_id = nodes.where(F.col("id") == text)

@@ -1,8 +1,8 @@
-"""Resolution of references to symbols by import scope, context and proximity, as one ranked join."""
+"""Resolution of references to symbols by import scope, context and proximity, as minima by equal keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import dirname, last_component, module_path
@@ -14,10 +14,25 @@ def import_scope(refs: DataFrame) -> DataFrame:
     return refs.where("ref_kind = 'import'").groupBy("path", local.alias("local")).agg(F.min_by("name", F.struct("line", "name")).alias("full"))
 
 
-def proximity(from_path, to_path):
-    """0 same file, 1 same folder, 2 below the folder above, 3 elsewhere."""
-    above = dirname(dirname(from_path))
-    return F.when(from_path == to_path, 0).when(dirname(from_path) == dirname(to_path), 1).when((above != "") & to_path.startswith(above), 2).otherwise(3)
+def nearest(refs: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """refs (ref_id, path, keys) with symbol_id: among symbols (keys, to_path, symbol_id) of equal keys, the nearest to path.
+
+    Nearest: same file, same folder, below the folder above, elsewhere; then the smallest id. Each tier is
+    a minimum by an equal key, so a frequent name costs its rows, not their pairs. References without a symbol of
+    their keys are left out; null keys match nothing.
+    """
+    least = F.min("symbol_id")
+    files = symbols.groupBy(*keys, "to_path").agg(least.alias("t0"))
+    folders = files.groupBy(*keys, dirname(F.col("to_path")).alias("folder")).agg(F.min("t0").alias("t1"))
+    any_ = files.groupBy(*keys).agg(F.min("t0").alias("t3"))
+    r = refs.withColumn("folder", dirname(F.col("path"))).withColumn("above", dirname(F.col("folder")))
+    asked = r.where("above <> ''").select(*keys, "above").distinct()
+    # a path's prefixes of the lengths that the folders above have: their number is bounded by the longest path
+    sizes = asked.agg(F.coalesce(F.collect_set(F.length("above")), F.array().cast("array<int>")).alias("sizes"))
+    heads = files.join(F.broadcast(sizes)).select(*keys, "t0", F.explode(F.transform(F.filter("sizes", lambda n: n <= F.length("to_path")), lambda n: F.substring("to_path", F.lit(1), n))).alias("above"))  # one row
+    below = heads.join(asked, [*keys, "above"], "left_semi").groupBy(*keys, "above").agg(F.min("t0").alias("t2"))
+    out = r.join(any_, keys).join(files.withColumnRenamed("to_path", "path"), [*keys, "path"], "left").join(folders, [*keys, "folder"], "left").join(below, [*keys, "above"], "left")
+    return out.withColumn("symbol_id", F.coalesce("t0", "t1", "t2", "t3")).select(*refs.columns, "symbol_id")
 
 
 def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -36,7 +51,9 @@ def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     r = r.withColumn("target", F.when(whole.isNotNull(), last_component(whole)).otherwise(last_component(F.col("name"))))
     r = r.withColumn("module", module_path(F.coalesce("ctx_full", "context", before, F.lit(""))))
     s = symbols.select(F.col("name").alias("target"), "symbol_id", F.col("path").alias("to_path"))
-    c = r.join(s, "target")
-    hit = F.when((F.col("module") != "") & F.col("to_path").contains(F.col("module")), 0).otherwise(1)
-    order = Window.partitionBy("ref_id").orderBy(hit, proximity(F.col("path"), F.col("to_path")), "symbol_id")
-    return c.withColumn("pick", F.row_number().over(order)).where("pick = 1").select("ref_id", "path", "ref_kind", "name", "line", "symbol_id")
+    # the symbols of each name whose path holds the module, found once for each name, module and path
+    asked = r.where("module <> ''").select("target", "module").distinct()
+    held = asked.join(s.groupBy("target", "to_path").agg(F.min("symbol_id").alias("symbol_id")), "target").where(F.col("to_path").contains(F.col("module"))).select("target", "module", "to_path", "symbol_id")
+    first = nearest(r, held, ["target", "module"])
+    rest = nearest(r.join(held.select("target", "module").distinct(), ["target", "module"], "left_anti"), s, ["target"])
+    return first.unionByName(rest).select("ref_id", "path", "ref_kind", "name", "line", "symbol_id")

@@ -112,17 +112,139 @@ def J4_neighbours(spark, sf_dir) -> DataFrame:
     return graph.neighbours(views.edges(spark, sf_dir), "p7", "in")
 
 
-@query("with s as (select p_partkey::varchar as ref_id, p_brand || '/' || p_size || '/' || p_partkey as path, p_name as name from part), r as (select a.ref_id, b.ref_id as symbol_id, row_number() over (partition by a.ref_id order by case when a.path = b.path then 0 when regexp_extract(a.path, '^(.*)/[^/]*$', 1) = regexp_extract(b.path, '^(.*)/[^/]*$', 1) then 1 when starts_with(b.path, regexp_extract(regexp_extract(a.path, '^(.*)/[^/]*$', 1), '^(.*)/[^/]*$', 1)) then 2 else 3 end, b.ref_id) as k from s a join s b on a.name = b.name and a.ref_id <> b.ref_id where a.ref_id::bigint % 50 = 0) select ref_id, symbol_id from r where k = 1")
-def J6_proximity(spark, sf_dir) -> DataFrame:
-    """Every fiftieth part is a reference to its name; the nearest other part of that name is meant."""
-    from pyspark.sql import Window
+#: Rank of a symbol's path s.path for a reference's path r.path.
+_NEAR = "case when r.path = s.path then 0 when regexp_extract(r.path, '^(.*)/[^/]*$', 1) = regexp_extract(s.path, '^(.*)/[^/]*$', 1) then 1 when regexp_extract(regexp_extract(r.path, '^(.*)/[^/]*$', 1), '^(.*)/[^/]*$', 1) <> '' and starts_with(s.path, regexp_extract(regexp_extract(r.path, '^(.*)/[^/]*$', 1), '^(.*)/[^/]*$', 1)) then 2 else 3 end"
+_PARTS = "select p_partkey::varchar as ref_id, p_brand || '/' || (p_size % 50 + 1) || '/' || p_partkey as path, p_name as name, p_size::varchar as context from part), s as (select 'p' || p_partkey as symbol_id, p_brand || '/' || p_size || '/' || p_partkey as path, p_name as name from part)"
 
+
+def _part_refs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Each part's name is referred to from the folder of the next size."""
+    p = read(spark, sf_dir, "part")
     key = F.col("p_partkey").cast("string")
-    s = read(spark, sf_dir, "part").select(key.alias("ref_id"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), key).alias("path"), F.col("p_name").alias("name"))
-    b = s.select(F.col("ref_id").alias("symbol_id"), F.col("path").alias("to_path"), "name")
-    j = s.where(F.col("ref_id").cast("long") % 50 == 0).join(b, "name").where("ref_id <> symbol_id")
-    w = Window.partitionBy("ref_id").orderBy(resolve.proximity(F.col("path"), F.col("to_path")), "symbol_id")
-    return j.withColumn("k", F.row_number().over(w)).where("k = 1").select("ref_id", "symbol_id")
+    refs = p.select(key.alias("ref_id"), F.concat_ws("/", "p_brand", (F.col("p_size") % 50 + 1).cast("string"), key).alias("path"), F.lit("call").alias("ref_kind"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("alias"), F.col("p_size").cast("string").alias("context"), F.lit(1).alias("line"))
+    symbols = p.select(F.concat(F.lit("p"), key).alias("symbol_id"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), key).alias("path"), F.col("p_name").alias("name"))
+    return refs, symbols
+
+
+@query(f"with r as ({_PARTS}, k as (select ref_id, symbol_id, row_number() over (partition by ref_id order by {_NEAR}, symbol_id) as n from r join s using (name)) select ref_id, symbol_id from k where n = 1")
+def J6_proximity(spark, sf_dir) -> DataFrame:
+    refs, symbols = _part_refs(spark, sf_dir)
+    return resolve.nearest(refs.select("ref_id", "path", "name"), symbols.withColumnRenamed("path", "to_path"), ["name"]).select("ref_id", "symbol_id")
+
+
+@query(f"with r as ({_PARTS}, k as (select ref_id, symbol_id, row_number() over (partition by ref_id order by case when contains(s.path, context) then 0 else 1 end, {_NEAR}, symbol_id) as n from r join s using (name)) select ref_id, symbol_id from k where n = 1")
+def J5_resolve(spark, sf_dir) -> DataFrame:
+    """Calls whose context is a size: symbols with that in their path come first."""
+    return resolve.resolve(*_part_refs(spark, sf_dir)).select("ref_id", "symbol_id")
+
+
+@query("select p_brand as path, coalesce(case when p_size < 10 then p_type end, regexp_extract(replace(p_name, ' ', '.'), '([^:./]*)$', 1)) as local, arg_min(replace(p_name, ' ', '.'), struct_pack(line := p_size, name := replace(p_name, ' ', '.'))) as full_name from part group by 1, 2")
+def J7_import_scope(spark, sf_dir) -> DataFrame:
+    """Part names as imports of their brand; small sizes go by an alias."""
+    p = read(spark, sf_dir, "part")
+    refs = p.select(F.col("p_brand").alias("path"), F.lit("import").alias("ref_kind"), F.replace("p_name", F.lit(" "), F.lit(".")).alias("name"), F.when(F.col("p_size") < 10, F.col("p_type")).alias("alias"), F.col("p_size").alias("line"))
+    return resolve.import_scope(refs).select("path", "local", F.col("full").alias("full_name"))
+
+
+@query("select src, dst, a.path as src_path, b.path as dst_path from edges join nodes a on src = a.id join nodes b on dst = b.id where relation = 'imports'", "edges", "nodes")
+def J3_import_paths(spark, sf_dir) -> DataFrame:
+    return graph.import_paths(views.edges(spark, sf_dir), views.nodes(spark, sf_dir))
+
+
+@query("select src, string_agg(label, ', ' order by label) as names from (select distinct src, label from edges join nodes on dst = id where relation = 'calls') group by 1", "edges", "nodes")
+def J15_called_names(spark, sf_dir) -> DataFrame:
+    return graph.called_names(views.edges(spark, sf_dir), views.nodes(spark, sf_dir)).select("src", F.array_join("names", ", ").alias("names"))
+
+
+@query(", f as (select path, string_split(regexp_replace(content, '\\n$', ''), chr(10)) as ls from files where language = 'en'), l as (select path, ls, unnest(generate_series(1, len(ls))) as n, unnest(ls) as line from f) select distinct path, n::bigint as line_number, array_to_string(list_slice(ls, greatest(n - 2, 1), n + 2), chr(10)) as code from l where contains(line, 'icense')", "files")
+def J20_usages(spark, sf_dir) -> DataFrame:
+    """Lines of English documents that hold a text, with two lines on either side; documents call their language."""
+    f = views.files(spark, sf_dir)
+    nodes = f.select(F.col("path").alias("id"), "path")
+    calls = f.select(F.col("path").alias("src"), F.col("language").alias("dst"), F.lit("calls").alias("relation"))
+    return lines.usages(calls, nodes, f, "en", "icense")
+
+
+@query("select path, n::bigint as line_number, line from (select path, unnest(generate_series(1, len(ls))) as n, unnest(ls) as line from (select path, string_split(regexp_replace(content, '\\n$', ''), chr(10)) as ls from files where contains(path, '/en/'))) where regexp_matches(line, '[Ll]icen[sc]e')", "files")
+def F8_grep_filtered(spark, sf_dir) -> DataFrame:
+    return lines.grep(views.files(spark, sf_dir), "[Ll]icen[sc]e", language="python", path_glob="*/en/*")
+
+
+@query("(select symbol_id as id, name as label, kind, path from symbols where contains(name, 'widget') and contains(path, '#1') order by id limit 10) union all (select path, path, 'file', path from files where contains(path, 'widget') and contains(path, '#1') order by path limit 10)", "symbols", "files")
+def F9_symbol_search(spark, sf_dir) -> DataFrame:
+    return graph.find_by_label(views.symbols(spark, sf_dir), views.files(spark, sf_dir), "widget", "#1")
+
+
+@query("select distinct src, dst, relation from edges where (src = 'n3' or dst = 'n3') and relation in ('defines')", "edges")
+def F10_edge_kinds(spark, sf_dir) -> DataFrame:
+    return graph.both_ways(views.edges(spark, sf_dir), "n3", 1)[1].where(F.col("relation").isin("defines"))
+
+
+@query("select src, dst, relation from edges where src = 'n3'", "edges")
+def G3_outgoing(spark, sf_dir) -> DataFrame:
+    return graph.bfs(views.edges(spark, sf_dir), "n3", "out", 1)[1]
+
+
+@query("select symbol_id, name, kind, path from symbols where name = 'cold widget' order by case when kind in ('class', 'struct', 'enum', 'interface') then 0 else 1 end, symbol_id limit 1", "symbols")
+def G7_type_definition(spark, sf_dir) -> DataFrame:
+    return graph.type_definition(views.symbols(spark, sf_dir), "cold widget").select("symbol_id", "name", "kind", "path")
+
+
+@query("select symbol_id, path as file from symbols", "symbols")
+def G12_file_of_id(spark, sf_dir) -> DataFrame:
+    from .functions.columns import file_of_id, symbol_id
+
+    return views.symbols(spark, sf_dir).select("symbol_id", file_of_id(symbol_id(F.col("path"), F.col("name"))).alias("file"))
+
+
+@query("select distinct array_to_string(list_slice(p, 1, n), '/') as path, n < len(p) as is_dir from (select string_split(path, '/') as p, unnest(generate_series(1, least(2, len(string_split(path, '/'))))) as n from files where not regexp_matches(path, '(^|/)[.]')) order by path limit 100", "files")
+def S11_listing(spark, sf_dir) -> DataFrame:
+    from .sources.repo import listing
+
+    return listing(views.files(spark, sf_dir), depth=2)
+
+
+@query("select page_id, case page_id % 4 when 0 then 'python' when 1 then 'rust' when 2 then 'cpp' end as language from pages")
+def S6_language(spark, sf_dir) -> DataFrame:
+    from .sources.repo import language_of
+
+    ends = F.array(*[F.lit(x) for x in ("py", "rs", "h", "unknown")])
+    path = F.concat(F.col("url"), F.lit("."), F.element_at(ends, (F.col("page_id") % 4 + 1).cast("int")))
+    return read(spark, sf_dir, "pages").select("page_id", language_of(path).alias("language"))
+
+
+@query("select path, language, hash from files", "files")
+def S9_files(spark, sf_dir) -> DataFrame:
+    return views.files(spark, sf_dir).select("path", "language", "hash")
+
+
+@query("select count(*) as n from files", "files")
+def A1_count_files(spark, sf_dir) -> DataFrame:
+    return views.files(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@query(", o as (select path, hash from files where language <> 'en'), n as (select path, case when language = 'de' then sha256(content || '!') else hash end as hash from files where language <> 'fr') select case when o.hash is null then 'new' when n.hash is null then 'removed' when o.hash = n.hash then 'skipped' else 'updated' end as status, count(*) as n from o full join n on o.path = n.path group by 1", "files")
+def A9_index_stats(spark, sf_dir) -> DataFrame:
+    """English documents are new, German ones changed, French ones gone."""
+    f = views.files(spark, sf_dir)
+    new = f.where("language <> 'fr'").withColumn("hash", F.when(F.col("language") == "de", F.sha2(F.concat("content", F.lit("!")), 256)).otherwise(F.col("hash")))
+    return classify(f.where("language <> 'en'"), new).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("select path, hash from files where language <> 'en' union all select path, sha256(content || '!') from files where language = 'en'", "files")
+def K1_replace_rows(spark, sf_dir) -> DataFrame:
+    """English documents are replaced by changed ones."""
+    from .plans.index import replace_rows
+
+    f = views.files(spark, sf_dir).select("path", "language", "content", "hash")
+    en = f.where("language = 'en'")
+    return replace_rows(f, en, en.withColumn("hash", F.sha2(F.concat("content", F.lit("!")), 256))).select("path", "hash")
+
+
+@query("select distinct src, dst, relation from edges", "edges")
+def U6_unique_edges(spark, sf_dir) -> DataFrame:
+    e = views.edges(spark, sf_dir)
+    return graph.unique_edges(e.union(e))
 
 
 _RANGES = "select 't' || conv_id || '-' || turn as symbol_id, 'v' || conv_id as path, turn * 10 + 1 + conv_id % 9 as start_line, turn * 10 + 1 + conv_id % 9 + turn % 5 as end_line from conversations"
@@ -146,9 +268,9 @@ def J10_line_nodes(spark, sf_dir) -> DataFrame:
     return intervals.line_nodes(r, _ranges(spark, sf_dir), views.chunks(spark, sf_dir))
 
 
-@query("select symbol_id, name, path from symbols where exists (select 1 from (select p_brand || '/' || p_size as path, p_size + 2 as s, p_size + 3 as e from part where p_partkey % 100 = 0) d where d.path = symbols.path and symbols.start_line <= d.e and symbols.end_line >= d.s)", "symbols")
+@query("select symbol_id, name, path from symbols where exists (select 1 from (select p_brand || '/' || p_size as path, p_size + 2 as s, p_size + 3 as e from part) d where d.path = symbols.path and symbols.start_line <= d.e and symbols.end_line >= d.s)", "symbols")
 def J11_affected(spark, sf_dir) -> DataFrame:
-    d = read(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("path"), (F.col("p_size") + 2).alias("start"), (F.col("p_size") + 3).alias("end"))
+    d = read(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("path"), (F.col("p_size") + 2).alias("start"), (F.col("p_size") + 3).alias("end"))
     return intervals.affected(views.symbols(spark, sf_dir), d).select("symbol_id", "name", "path")
 
 

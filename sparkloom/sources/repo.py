@@ -63,9 +63,9 @@ def matches(path, globs) -> F.Column:
 
 
 def language_of(path) -> F.Column:
-    """The language of a path's extension; null if unknown."""
+    """The language of a path's extension, which is case-sensitive; null if unknown."""
     known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.try_element_at(known, F.lower(F.regexp_extract(path, "\\.([^./]+)$", 1)))
+    return F.try_element_at(known, F.regexp_extract(path, "\\.([^./]+)$", 1))
 
 
 def ignore_rules(root: str) -> list[tuple[bool, str]]:
