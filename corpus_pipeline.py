@@ -28,8 +28,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by the probabilities that rake sources, languages and topics to their targets."""
-    return mixing.mix(docs).where("sampled").select(*COLUMNS)
+    """Documents sampled by the probabilities that rake sources, languages and topics to their targets.
+
+    Half of the tokens are kept at least: a few words left of a topic would otherwise bound the whole sample.
+    """
+    return mixing.mix(docs, mixing.MixingParams(least=0.5)).where("sampled").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

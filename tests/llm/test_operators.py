@@ -397,6 +397,42 @@ def test_mixing_awkward(awkward, no_rows):
     assert mixing.mix(no_rows).count() == 0
 
 
+def test_mixing_samples_meet_targets(spark):
+    docs = read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "source", "lang")
+    # a third of all rows from one source
+    hot = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")))
+    for d in (docs, hot):
+        rows = mixing.mix(d).select("mix_source", "mix_lang", "mix_topic", "mix_tokens", "probability", "sampled").collect()
+        total, expected, kept = (sum(f(r) for r in rows) for f in (lambda r: r["mix_tokens"], lambda r: r["mix_tokens"] * r["probability"], lambda r: r["mix_tokens"] * r["sampled"]))
+        assert max(r["probability"] for r in rows) <= 1 and kept > 0.2 * total
+        for dim in mixing.DIMS:
+            own, want, got = defaultdict(float), defaultdict(float), defaultdict(float)
+            for r in rows:
+                v = r["mix_" + dim]
+                own[v] += r["mix_tokens"] / total
+                want[v] += r["mix_tokens"] * r["probability"] / expected
+                got[v] += r["mix_tokens"] * r["sampled"] / kept
+            norm = sum(x**0.7 for x in own.values())
+            for v in own:
+                goal = own[v] ** 0.7 / norm
+                assert math.isclose(want[v], goal, rel_tol=1e-3) and abs(got[v] - goal) < 0.01 + 0.1 * goal
+
+
+def test_mixing_reports_targets(spark):
+    d = spark.createDataFrame([(i, "word " * 20, "en", "ab"[i % 2]) for i in range(40)], DOC)
+    p = mixing.MixingParams(targets={"source": spark.createDataFrame([("a", 0.3), ("b", 0.3), ("gone", 0.4)], "value string, share double")})
+    met = {r["value"]: (r["met"], round(r["expected"], 6)) for r in mixing.report(mixing.weights(mixing.with_cells(d), p), p).where("dim = 'source'").collect()}
+    assert met == {"a": (False, 0.5), "b": (False, 0.5), "gone": (False, 0.0)}
+    p = mixing.MixingParams(targets={"source": spark.createDataFrame([("a", 0.2), ("b", 0.8)], "value string, share double")})
+    assert all(r["met"] for r in mixing.report(mixing.weights(mixing.with_cells(d), p), p).collect())
+    # 800 of a, 160 of b, 40 of c: in half of all, b and c are kept whole and named as missed
+    d = spark.createDataFrame([(i, "word " * 20, "en", "c" if i % 25 == 0 else "b" if i % 25 < 5 else "a") for i in range(50)], DOC)
+    third = spark.createDataFrame([(v, 1 / 3) for v in "abc"], "value string, share double")
+    p = mixing.MixingParams(targets={"source": third}, least=0.5)
+    got = {r["value"]: (round(r["expected"], 6), r["met"]) for r in mixing.report(mixing.weights(mixing.with_cells(d), p), p).where("dim = 'source'").collect()}
+    assert got == {"a": (0.6, False), "b": (0.32, False), "c": (0.08, False)}
+
+
 def brute_licenses(rows, p=licenses.LicenseParams()):
     anchor = re.compile("(?i)\\b(" + "|".join(licenses.ANCHORS) + ")\\b")
     heads = {i: [licenses.terms(x) for x in re.split(r"\r?\n", t or "") if anchor.search(x)] for i, _, t in rows}
