@@ -1,9 +1,13 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Headers are the lines of a text that hold a template's anchor word; a licence file is a text of which at
+Whole texts with an anchor word are compared to the licences' full texts (license_texts/, without their copyright
+lines); the document frequencies of these terms are those among the full texts. A text takes the licence of
+the highest cosine, if that is at least `min_whole`, and is then a licence file, whatever its headers say.
+
+Headers are the lines of a text that hold a template's anchor word; a licence file is also a text of which at
 least `file_share` of the words lie in matched headers. Terms are the templates' words (a bounded vocabulary);
 their document frequencies are counted over all texts. A header gets the template of the highest
-cosine, if that is at least `min_cosine`, and a text the best of its headers. A text without a
+cosine, if that is at least `min_cosine`, and a text without a whole match the best of its headers. A text without a
 licence of its own inherits from the licence file in the nearest directory above it.
 
 Paths are split at '/'. Distinct directories are resolved first and documents joined to them, so a directory
@@ -18,7 +22,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +51,7 @@ ANCHORS = ("licen[cs]e", "licen[cs]ed", "redistribution", "permission", "copyrig
 class LicenseParams:
     min_cosine: float = 0.6
     file_share: float = 0.5
+    min_whole: float = 0.75
     max_depth: int = 32
 
 
@@ -59,6 +66,35 @@ def _terms(c):
     return F.regexp_extract_all(F.lower(c), F.lit("(" + _WORD + ")"), F.lit(1))
 
 
+def full_texts() -> dict[str, list[str]]:
+    """Terms of each licence's full text."""
+    texts = {f.stem: f.read_text(encoding="utf-8") for f in (Path(__file__).parent / "license_texts").glob("*.txt")}
+    return {name: terms(re.sub(r"(?im)^\s*copyright\b.*$", "", t)) for name, t in sorted(texts.items())}
+
+
+def whole_matches(rows: DataFrame, p: LicenseParams) -> DataFrame:
+    """row, whole_license and whole_cosine of the rows (row, words) that are a licence's full text."""
+    spark = rows.sparkSession
+    full = {name: Counter(ws) for name, ws in full_texts().items()}
+    found = Counter(w for c in full.values() for w in c)
+    idf = {w: math.log((1 + len(full)) / (1 + n)) + 1 for w, n in found.items()}
+    parts = []
+    for name, c in full.items():
+        v = {w: (1 + math.log(n)) * idf[w] for w, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        parts += [(name, w, x / norm) for w, x in sorted(v.items())]
+    weight = spark.createDataFrame(parts, "license string, term string, t double").groupBy("term").agg(F.collect_list(F.struct("license", "t")).alias("in"))
+    value = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
+    tf = rows.where("words is not null").select("row", F.explode("words").alias("term")).groupBy("row", "term").agg(F.count("*").alias("tf"))
+    x = (1 + F.log("tf")) * F.coalesce("idf", F.lit(math.log(1 + len(full)) + 1))
+    tf = table(tf.join(F.broadcast(value), "term", "left").withColumn("x", x), "words")
+    norm = tf.groupBy("row").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))
+    dot = tf.join(F.broadcast(weight), "term").select("row", "x", F.explode("in").alias("m")).groupBy("row", F.col("m.license").alias("license")).agg(F.sum(F.col("x") * F.col("m.t")).alias("dot"))
+    cosine = dot.join(norm, "row").select("row", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= p.min_whole)
+    best = F.min(F.struct((-F.col("cosine")).alias("c"), "license"))["license"]
+    return table(cosine.groupBy("row").agg(F.max("cosine").alias("whole_cosine"), best.alias("whole_license")), "whole")
+
+
 def scan(docs: DataFrame, p: LicenseParams = LicenseParams(), id_col: str = "doc_id", text: str = "text", path: str = "path", templates: dict = TEMPLATES) -> DataFrame:
     """Per row: id_col, path, license, cosine, license_file, origin (`own`, `inherited` or `none`), from_dir."""
     spark = docs.sparkSession
@@ -69,8 +105,8 @@ def scan(docs: DataFrame, p: LicenseParams = LicenseParams(), id_col: str = "doc
     # one pass over the texts: lines with an anchor, and which template words occur in them
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\\r?\\n"), lambda x: x.rlike(anchor))
     headers = F.transform(F.when(F.col("text").rlike(anchor), lines).otherwise(F.array().cast("array<string>")), _terms)
-    n_words = F.when(F.size("headers") > 0, F.size(_terms(F.coalesce("text", F.lit("")))))
-    rows = table(d.withColumn("headers", headers).select("id", "path", "headers", n_words.alias("n_words")).withColumn("row", F.monotonically_increasing_id()), "headers")
+    words = F.when(F.size("headers") > 0, _terms(F.coalesce("text", F.lit(""))))
+    rows = table(d.withColumn("headers", headers).select("id", "path", "headers", words.alias("words")).withColumn("n_words", F.when(F.col("words").isNotNull(), F.size("words"))).withColumn("row", F.monotonically_increasing_id()), "headers")
     n_docs = rows.count()
     # document frequencies over the headers of all texts; a text without headers holds no term
     df = rows.where(F.size("headers") > 0).select(F.explode(F.array_distinct(F.flatten("headers"))).alias("term")).where(F.col("term").isin(vocabulary)).groupBy("term").count()
@@ -95,8 +131,10 @@ def scan(docs: DataFrame, p: LicenseParams = LicenseParams(), id_col: str = "doc
     per_line = cosine.groupBy("row", "line", "size").agg(F.max("cosine").alias("cosine"), F.min(F.struct((-F.col("cosine")).alias("c"), "license"))["license"].alias("license"))
     own = table(per_line.groupBy("row").agg(F.max("cosine").alias("cosine"), F.min(F.struct((-F.col("cosine")).alias("c"), "license"))["license"].alias("license"), F.sum("size").alias("in_headers")), "own")
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(F.when(F.col("path").isNotNull(), ""))
-    full = rows.drop("headers").join(own, "row", "left").withColumn("dir", folder)
-    full = table(full.withColumn("license_file", F.coalesce(F.col("in_headers") >= p.file_share * F.col("n_words"), F.lit(False))), "scanned")
+    full = rows.drop("headers", "words").join(own, "row", "left").join(whole_matches(rows, p), "row", "left").withColumn("dir", folder)
+    full = full.withColumns({"license": F.coalesce("whole_license", "license"), "cosine": F.coalesce("whole_cosine", "cosine")})
+    in_headers = F.coalesce(F.col("in_headers") >= p.file_share * F.col("n_words"), F.lit(False))
+    full = table(full.withColumn("license_file", F.col("whole_license").isNotNull() | in_headers), "scanned")
 
     # directories: the nearest one above (itself included) with a licence file
     files = full.where("license_file and dir is not null").groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license"))["license"].alias("dir_license"))

@@ -3,9 +3,11 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -478,6 +480,21 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_full_license_texts_are_inherited(spark):
+    folder = Path(licenses.__file__).parent / "license_texts"
+    full = {f.stem: f.read_text() for f in folder.glob("*.txt")}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "Apache-2.0"} <= set(full)
+    # a holder's line, other line ends and other wrapping than the template's
+    texts = {name: "Copyright (c) 2019-2024 Jo Doe and others\r\n\r\n" + textwrap.fill(t, 100).replace("\n", "\r\n") for name, t in full.items()}
+    rows = [(2 * k, f"{name}/LICENSE", t) for k, (name, t) in enumerate(texts.items())] + [(2 * k + 1, f"{name}/src/deep/a.c", "int x;") for k, name in enumerate(texts)]
+    # the licence as a comment of a program is a header, not a licence file
+    rows += [(100, "code/a.c", texts["MIT"] + " int main() { return call(a, b); }" + " ".join(f"name{i} = value{i};" for i in range(300))), (101, "code/b.c", "x")]
+    got = {r["doc_id"]: (r["license"], r["origin"], r["license_file"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for k, name in enumerate(texts):
+        assert got[2 * k] == (name, "own", True) and got[2 * k + 1] == (name, "inherited", False)
+    assert not got[100][2] and got[101] == (None, "none", False)
+
+
 def test_queries_equal_their_sql(spark):
     import duckdb
 
