@@ -11,7 +11,7 @@ cosine, if that is at least `min_cosine`, and a text without a whole match the b
 licence of its own inherits from the licence file in the nearest directory above it.
 
 Paths are split at '/'. Distinct directories are resolved first and documents joined to them, so a directory
-with any number of documents is one row until the last join.
+with any number of documents is one row until the last join; all its ancestors are looked at, however deep.
 
 Defined results: a null or empty text has no header; a null path inherits nothing; ties go to the
 smaller licence name; repeated rows are scanned each; of several licence files in a directory the
@@ -52,7 +52,6 @@ class LicenseParams:
     min_cosine: float = 0.6
     file_share: float = 0.5
     min_whole: float = 0.75
-    max_depth: int = 32
 
 
 _WORD = "[a-z0-9]+(?:[.-][0-9a-z]+)*"
@@ -140,7 +139,7 @@ def scan(docs: DataFrame, p: LicenseParams = LicenseParams(), id_col: str = "doc
     files = full.where("license_file and dir is not null").groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license"))["license"].alias("dir_license"))
     files = table(files, "files")
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
-    dirs = full.where("dir is not null").select("dir").distinct().withColumn("depth", F.least(depth, F.lit(p.max_depth)))
+    dirs = full.where("dir is not null").select("dir").distinct().withColumn("depth", depth)
     parts = F.split("dir", "/")
     above = dirs.withColumn("n", F.explode(F.sequence(F.lit(0), F.col("depth")))).withColumn("above", F.array_join(F.slice(parts, 1, F.col("n")), "/"))
     near = above.join(files, "above").groupBy("dir").agg(F.max_by(F.struct(F.col("above").alias("from_dir"), "dir_license"), "n").alias("near"))

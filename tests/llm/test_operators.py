@@ -480,6 +480,14 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_licenses_of_deep_directories(spark):
+    deep = "/".join(f"d{i}" for i in range(70))
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, "LICENSE", mit), (2, f"{deep}/LICENSE", gpl), (3, f"{deep}/a.c", "int x;"), (4, f"{deep}/e/a.c", "int x;"), (5, deep + ".c", "int x;")]
+    got = {r["doc_id"]: (r["license"], r["from_dir"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got[3] == got[4] == ("GPL-3.0", deep) and got[5] == ("MIT", "")
+
+
 def test_full_license_texts_are_inherited(spark):
     folder = Path(licenses.__file__).parent / "license_texts"
     full = {f.stem: f.read_text() for f in folder.glob("*.txt")}
