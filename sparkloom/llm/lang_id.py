@@ -2,7 +2,7 @@
 
 A text is normalised (lower case, ASCII non-letters to blanks, repeated words removed) and encoded
 whole, in segments, once with each language's dictionary. A dictionary is the language's most frequent
-words, the most frequent last (nearest to what is coded), from a bounded sample of learning rows.
+words, the most frequent last (nearest to what is coded), from a sample of all learning rows.
 
 Defined results: a null text or one without letters is `und` with score 0; without learned languages
 all are `und`. Ties go to the smaller language name. `rejected` marks narrow margins.
@@ -31,7 +31,6 @@ _TABLE = bytes(c if 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 3
 class LanguageParams:
     #: Learning documents for each language, those with the smallest hash of the id, and bytes of each dictionary.
     docs_per_language: int = 1_500
-    max_doc_bytes: int = 20_000
     dictionary_bytes: int = 32_000
     level: int = 6
     segment: int = 512
@@ -46,11 +45,10 @@ def normalise(text: str) -> bytes:
 def learn(docs: DataFrame, p: LanguageParams, learn_from, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionaries by language. Two passes: counts give each language's sampling rate, then the rows are read.
 
-    The sample holds about docs_per_language documents of each language, of at most max_doc_bytes; words are
-    counted by Spark, and only the words of a dictionary reach the driver.
+    The sample holds about docs_per_language documents of each language, of any length; a word counts once for
+    each document. Words are counted by Spark, and only the words of a dictionary reach the driver.
     """
     d = pick(docs, id=id_col, text=text, lang=lang).where("text is not null and lang is not null").where(learn_from(F.col("id")))
-    d = d.where(F.octet_length("text") <= p.max_doc_bytes)
     rates = table(d.groupBy("lang").count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(p.docs_per_language)) / F.col("count"))), "rates")
     u = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     sample = d.join(rates.select("lang", "rate"), "lang").where(u < F.col("rate")).select("lang", "text")

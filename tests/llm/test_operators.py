@@ -312,6 +312,16 @@ def test_quality_awkward(spark, awkward, no_rows):
     assert quality.train(no_rows, labels, p, queries.learns(4, 2)).prior == 0.5
 
 
+def test_language_of_long_texts_only(spark):
+    long = {"aa": "omu kalu tesi ravo ", "bb": "stirb wrank dolf gruzz "}
+    rows = [(i, " ".join(f"{w}{j}" for j in range(900) for w in long[v].split()), v, "s") for i in range(12) for v in ("aa" if i % 2 else "bb",)]
+    assert min(len(t) for _, t, _, _ in rows) > 20_000
+    d = spark.createDataFrame(rows, DOC)
+    found = lang_id.learn(d, lang_id.LanguageParams(), queries.learns(3, 1))
+    assert set(found) == {"aa", "bb"}
+    assert all(r["lang_pred"] == r["lang"] for r in lang_id.predict(d, found).collect())
+
+
 # ---- media, neighbours, mixing, licences -------------------------------------------------------
 
 
