@@ -133,13 +133,13 @@ class Tools:
         return grep(self.ix.read("files"), pattern, language, path_glob)
 
     def call(self, name: str, args: dict) -> str:
-        """The tool's result as text; errors and unknown tools are text as well."""
+        """The tool's whole result as text; errors and unknown tools are text as well."""
         if name not in self.names:
             return f"unknown tool {name}"
         try:
             out = getattr(self, name)(**args)
             frames = out if isinstance(out, dict) else {name: out}
-            return "\n".join("\n".join(df.limit(50).toJSON().collect()) if hasattr(df, "toJSON") else str(df) for df in frames.values())
+            return "\n".join("\n".join(df.toJSON().collect()) if hasattr(df, "toJSON") else str(df) for df in frames.values())
         except Exception as e:
             return f"error: {e}"
 
@@ -160,6 +160,6 @@ def ask(tools: Tools, model: Model, question: str, max_steps: int = 12) -> Run:
             return run
         seen = tools.call(str(x.get("action", "")), x.get("args") or {})
         run.steps.append({"thought": x.get("thought"), "action": x.get("action"), "args": x.get("args"), "observation": seen})
-        messages.append({"role": "user", "content": seen[:8000]})
+        messages.append({"role": "user", "content": seen})
     run.answer = "no answer within the steps allowed"
     return run

@@ -116,3 +116,22 @@ def test_streaming(spark, tmp_path):
     ix = Index(spark, str(tmp_path / "ix"))
     run(stream_files(spark, str(tmp_path / "in")), ix, str(tmp_path / "ck")).awaitTermination()
     assert ix.read("symbols").count() == 1
+
+
+class Once:
+    """Calls one tool, then answers with what it was shown."""
+
+    def __init__(self, action, args):
+        self.first = json.dumps({"action": action, "args": args})
+
+    def chat(self, messages):
+        return self.first if len(messages) == 2 else json.dumps({"answer": messages[-1]["content"]})
+
+
+def test_tool_results_are_whole(spark):
+    class Long(Tools):
+        def read_file(self, path):
+            return spark.range(3000).selectExpr("id", "'some longer text' as line")
+
+    seen = ask(Long(None), Once("read_file", {"path": "a"}), "q").answer
+    assert [json.loads(x)["id"] for x in seen.split("\n")] == list(range(3000)) and len(seen) > 8000
