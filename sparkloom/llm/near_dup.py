@@ -78,8 +78,8 @@ def sketches(docs: DataFrame, p: NearDupParams) -> DataFrame:
                 doc, h = shingles(words, p.words)
                 n = np.bincount(doc, minlength=j - i)
                 sums = np.zeros((j - i, 2), np.uint64)
-                for k, salt in enumerate((1, 2)):
-                    v = mix(h * np.uint64(2) + np.uint64(salt << 50))
+                for k, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
+                    v = mix(h ^ np.uint64(salt))
                     if len(h):
                         at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                         sums[doc[at], k] = np.add.reduceat(v, at)
@@ -90,23 +90,20 @@ def sketches(docs: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def _sets(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """(id, text) to (id, shingles as 6 bytes each, ascending)."""
+    """(id, text) to (id, shingles as 8 bytes each, ascending)."""
 
     def run(batches):
         for b in batches:
             for i, j, words in text_steps(b.column(1)):
                 doc, h = shingles(words, p.words)
-                six = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
                 ends = np.searchsorted(doc, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([six[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["id", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([h[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["id", "items"])
 
     return docs.mapInArrow(run, "id long, items binary")
 
 
 def _open(items: bytes) -> np.ndarray:
-    wide = np.zeros((len(items) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(items, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(items, np.uint64)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Words, append_columns, buffers, pick, small_join, steps, table
+from .shared import Words, append_columns, buffers, distinct, pick, small_join, steps, table
 
 FEATURES = ("log_words", "word_bytes", "distinct", "repeats", "upper", "marks", "bangs", "bars", "digits", "pairs")
 
@@ -70,12 +70,7 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
-    out = np.zeros(n_docs, np.int64)
-    for a in range(0, n_docs, 1 << 16):
-        on = (doc >= a) & (doc < a + (1 << 16))
-        key = np.unique(((doc[on] - a).astype(np.uint64) << np.uint64(48)) | (h[on] >> np.uint64(16)))
-        out[a : a + (1 << 16)] = np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=min(1 << 16, n_docs - a))
-    return out
+    return np.bincount(distinct(doc, h, n_docs)[0], minlength=n_docs)
 
 
 @dataclass

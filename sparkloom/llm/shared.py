@@ -33,10 +33,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a folder of this process."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of spark.checkpoint.dir, or the context's; where both are unset, in local mode only, one of this process."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(shared_dir, "own"):
         shared_dir.own = tempfile.mkdtemp(prefix="tables-")
         atexit.register(shutil.rmtree, shared_dir.own, ignore_errors=True)
@@ -93,21 +95,6 @@ NOT_ALNUM = np.zeros(256, bool)
 NOT_ALNUM[:128] = True
 NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
-_P = 0x9E3779B97F4A7C55
-_POWERS = {"n": 0}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _POWERS["n"] < n:
-        m = max(n, STEP_BYTES + 1)
-        for key, p in (("up", _P), ("down", pow(_P, -1, 1 << 64))):
-            x = np.full(m, p, np.uint64)
-            x[0] = 1
-            _POWERS[key] = np.multiply.accumulate(x)
-        _POWERS["n"] = m
-    return _POWERS["up"], _POWERS["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit over all output bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -131,6 +118,18 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def cuts(data: np.ndarray, budget: int):
+    """Ranges of about `budget` bytes of one text that cut no word; a longer word is a range of its own."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(at + budget, n)
+        while end < n and not SPACE[data[end - 1]]:  # on to the next separator
+            there = np.flatnonzero(SPACE[data[end : end + budget]])
+            end = end + int(there[0]) + 1 if len(there) else min(end + budget, n)
+        yield at, end
+        at = end
+
+
 def steps(off: np.ndarray, budget: int = STEP_BYTES):
     """Ranges of documents with at most `budget` bytes, or of one longer document."""
     i, n = 0, len(off) - 1
@@ -141,31 +140,49 @@ def steps(off: np.ndarray, budget: int = STEP_BYTES):
         i = j
 
 
+def hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each b[start:end]; b goes on for 8 bytes at least beyond the last.
+
+    Eight bytes at a time are chained through mix(), so a collision is chance; words over 32 bytes go to xxh3.
+    """
+    size = end - start
+    eight = np.ndarray(max(len(b) - 7, 0), "<u8", b.data, strides=(1,))
+    h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for k in range(0, 32, 8):
+        on = np.flatnonzero(size > k) if k else slice(None)
+        rest = size[on] - k
+        x = eight[start[on] + k]
+        x <<= (8 * np.maximum(8 - rest, 0)).astype(np.uint64)
+        h[on] = mix((h[on] ^ x) + np.uint64(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(size > 32)
+    if len(long):
+        import xxhash
+
+        h[long] = [xxhash.xxh3_64_intdigest(b[i:j]) for i, j in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return h
+
+
 class Words:
-    """Words of some documents: doc (index), start and end (in `bytes`), hash (64 bits)."""
+    """Words of some documents: doc (index), start and end (in `bytes`, which 8 zeros follow), hash (64 bits)."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE):
         self.n_docs = len(off) - 1
         off = off - off[0]
-        self.bytes = b = FOLD[data]
-        n = len(b)
-        if not n:
-            self.doc = self.start = self.end = np.zeros(0, np.int64)
-            self.hash = np.zeros(0, np.uint64)
-            return
-        word = ~separators[b]
-        before, after = np.zeros(n, bool), np.zeros(n, bool)
-        before[1:], after[:-1] = word[:-1], word[1:]
+        n = len(data)
+        self.bytes = np.zeros(n + 8, np.uint8)
+        np.take(FOLD, data, out=self.bytes[:n])
+        word = ~separators[data]
         edges = off[1:-1]
-        before[edges[edges < n]] = False
-        after[edges[edges > 0] - 1] = False
-        self.start = np.flatnonzero(word & ~before)
-        self.end = np.flatnonzero(word & ~after) + 1
-        self.doc = np.searchsorted(off, self.start, side="right") - 1
-        up, down = _powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        at = edges[edges < n]
+        first[at] = word[at]
+        at = edges[edges > 0] - 1
+        last[at] = word[at]
+        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.doc = np.repeat(np.arange(self.n_docs), np.diff(np.searchsorted(self.start, off)))
+        self.hash = hashes(self.bytes, self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n_docs)
@@ -179,7 +196,7 @@ def text_steps(column: pa.Array, separators: np.ndarray = SPACE, budget: int = S
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct k-word shingles as 48-bit hashes: (doc, hash), sorted by both.
+    """Distinct k-word shingles as 64-bit hashes: (doc, hash), sorted by both.
 
     A document with fewer than k words has its whole sequence as one shingle; one without words has none.
     """
@@ -195,13 +212,25 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(k):
         on = sizes > i
         s[on] = mix(s[on] * np.uint64(3) + h[keep[on] + i] + np.uint64(i + 1))
-    d = doc[keep]
+    return distinct(doc[keep], s, words.n_docs)
+
+
+def distinct(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (doc, h), sorted by both; doc ascends."""
+    if n_docs == 1:
+        h = np.unique(h)
+        return np.zeros(len(h), np.int64), h
     out_d, out_h = [], []
-    for a in range(0, words.n_docs, 1 << 16):
-        lo, hi = np.searchsorted(d, [a, a + (1 << 16)])
-        key = np.unique(((d[lo:hi] - a).astype(np.uint64) << np.uint64(48)) | (s[lo:hi] >> np.uint64(16)))
-        out_d.append((key >> np.uint64(48)).astype(np.int64) + a)
-        out_h.append(key & np.uint64((1 << 48) - 1))
+    for a in range(0, n_docs, 1 << 16):  # 16-bit keys are sorted by counting
+        lo, hi = np.searchsorted(doc, [a, a + (1 << 16)])
+        order = np.argsort(h[lo:hi])
+        d = (doc[lo:hi] - a).astype(np.uint16)[order]
+        by = np.argsort(d, kind="stable")
+        d, x = d[by], h[lo:hi][order[by]]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1])
+        out_d.append(d[new].astype(np.int64) + a)
+        out_h.append(x[new])
     return np.concatenate(out_d), np.concatenate(out_h)
 
 
