@@ -1,11 +1,11 @@
 """Language ID by compression: per-language zstandard raw-content dictionaries, the smallest code wins.
 
-A text is normalised (lower case, ASCII non-letters to blanks, repeated words removed) and encoded
-whole, in segments, once with each language's dictionary. A dictionary is the language's most frequent
+A text is normalised (lower case, ASCII non-letters to blanks) and encoded whole, repeated words
+included, in segments, once with each language's dictionary. A dictionary is the language's most frequent
 words, the most frequent last (nearest to what is coded), from a sample of all learning rows.
 
 Defined results: a null text or one without letters is `und` with score 0; without learned languages
-all are `und`. Ties go to the smaller language name. `rejected` marks narrow margins.
+all are `und`. Ties go to the language of more learning documents, then the smaller name. `rejected` marks narrow margins.
 """
 
 from __future__ import annotations
@@ -39,14 +39,14 @@ class LanguageParams:
 
 
 def normalise(text: str) -> bytes:
-    return b" ".join(dict.fromkeys(text.lower().encode("utf-8", "replace").translate(_TABLE).split()))
+    return b" ".join(text.lower().encode("utf-8", "replace").translate(_TABLE).split())
 
 
 def learn(docs: DataFrame, p: LanguageParams, learn_from, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Dictionaries by language. Two passes: counts give each language's sampling rate, then the rows are read.
+    """Dictionaries by language, those of more learning documents first. Counts give each language's sampling rate, then the rows are read.
 
-    The sample holds about docs_per_language documents of each language, of any length; a word counts once for
-    each document. Words are counted by Spark, and only the words of a dictionary reach the driver.
+    The sample holds about docs_per_language documents of each language, of any length. Words are counted by
+    Spark, and only the words of a dictionary reach the driver.
     """
     d = pick(docs, id=id_col, text=text, lang=lang).where("text is not null and lang is not null").where(learn_from(F.col("id")))
     rates = table(d.groupBy("lang").count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(p.docs_per_language)) / F.col("count"))), "rates")
@@ -64,15 +64,16 @@ def learn(docs: DataFrame, p: LanguageParams, learn_from, id_col: str = "doc_id"
     words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     best = words.withColumn("k", F.row_number().over(top)).where(F.col("k") <= p.dictionary_bytes // 2).orderBy("lang", "k").toArrow().to_pydict()
+    docs_of = {r["lang"]: r["count"] for r in rates.collect()}  # a row for each language
     out: dict[str, list[bytes]] = {}
     for lang, word in zip(best["lang"], best["word"], strict=True):
         out.setdefault(lang, []).append(word.encode())
-    return {lang: b" ".join(reversed(ws))[-p.dictionary_bytes :] for lang, ws in sorted(out.items())}
+    return {lang: b" ".join(reversed(ws))[-p.dictionary_bytes :] for lang, ws in sorted(out.items(), key=lambda x: (-docs_of[x[0]], x[0]))}
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], p: LanguageParams = LanguageParams(), text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1, 0.5 at no margin) and rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
+    """docs with lang_pred, score (0 to 1, 0.5 at no margin) and rejected; ties go to the earlier dictionary."""
+    sent = docs.sparkSession.sparkContext.broadcast(list(dictionaries.items()))
     coders: dict = {}
 
     def make(column):
@@ -92,9 +93,9 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], p: LanguageParams =
                 continue
             b = normalise(t)
             parts = [b[i : i + p.segment] for i in range(0, len(b), p.segment)]
-            sizes = sorted((sum(len(code(x)) for x in parts), lang) for lang, code in coders["all"])
+            sizes = sorted((sum(len(code(x)) for x in parts), k, lang) for k, (lang, code) in enumerate(coders["all"]))
             margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
-            langs.append(sizes[0][1])
+            langs.append(sizes[0][2])
             scores.append(float(1 / (1 + np.exp(-40 * margin))))
             rejected.append(margin < p.min_margin)
         return pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())
