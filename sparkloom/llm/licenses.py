@@ -6,7 +6,7 @@ the highest cosine, if that is at least `min_whole`, and is then a licence file,
 
 Headers are the lines of a text that hold a template's anchor word; a licence file is also a text of which at
 least `file_share` of the words lie in matched headers. Terms are the templates' words (a bounded vocabulary);
-their document frequencies are counted over all texts. A header gets the template of the highest
+their document frequencies are counted over the headers of all texts. A header gets the template of the highest
 cosine, if that is at least `min_cosine`, and a text without a whole match the best of its headers. A text without a
 licence of its own inherits from the licence file in the nearest directory above it.
 

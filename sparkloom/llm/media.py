@@ -5,7 +5,8 @@ fractions included, from an integral image. tiles() makes one row for each media
 an NPY tile and its difference hash. Bytes that are null or no known format give null results, not errors.
 
 Texts as media: a payload of UTF-8 bytes and zeros up to a positive multiple of 64 is a PGM 64 pixels wide,
-one byte a pixel, so storing is lossless; a null text is an empty one.
+one byte a pixel, so storing is lossless; a null text is an empty one. store_texts() gives the stored forms, which belong in a
+table; digests() reads such a table back.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import append_columns, buffers
 
 WIDTH = 64
+#: Rows of an image that one step sums.
+STRIP = 4096
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -98,20 +102,30 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target pixel's exact area (float64, grey), by an integral image."""
-    grey = pixels.astype(np.float64) if pixels.ndim == 2 else pixels.astype(np.float64).mean(axis=2)
-    h, w = grey.shape
-    table = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(grey, axis=0), axis=1, out=table[1:, 1:])
-
-    def at(edges, axis, t):
-        low = np.minimum(edges.astype(np.int64), t.shape[axis] - 1)
-        high = np.minimum(low + 1, t.shape[axis] - 1)
-        part = (edges - low).reshape((-1, 1) if axis == 0 else (1, -1))
-        return np.take(t, low, axis) * (1 - part) + np.take(t, high, axis) * part
+    """Mean over each target pixel's exact area (float64, grey), by an integral image.
 
+    The image is summed in strips; only the rows of the integral image that the target's edges need are kept.
+    """
+    h, w = pixels.shape[:2]
     y, x = np.arange(height + 1) * (h / height), np.arange(width + 1) * (w / width)
-    t = at(x, 1, at(y, 0, table))
+    need = np.unique(np.concatenate([np.minimum(y.astype(np.int64), h), np.minimum(y.astype(np.int64) + 1, h)]))
+    rows, carry = np.zeros((len(need), w + 1)), np.zeros(w + 1)
+    for a in range(0, h, STRIP):
+        grey = pixels[a : a + STRIP].astype(np.float64)
+        table = np.zeros((len(grey), w + 1))
+        np.cumsum(np.cumsum(grey if grey.ndim == 2 else grey.mean(axis=2), axis=0), axis=1, out=table[:, 1:])
+        table += carry
+        here = (need > a) & (need <= a + len(grey))
+        rows[here] = table[need[here] - a - 1]
+        carry = table[-1]
+
+    def at(edges, axis, t, place):
+        low = np.minimum(edges.astype(np.int64), place[-1])
+        high = np.minimum(low + 1, place[-1])
+        part = (edges - low).reshape((-1, 1) if axis == 0 else (1, -1))
+        return np.take(t, np.searchsorted(place, low), axis) * (1 - part) + np.take(t, np.searchsorted(place, high), axis) * part
+
+    t = at(x, 1, at(y, 0, rows, need), np.arange(w + 1))
     return (t[1:, 1:] - t[:-1, 1:] - t[1:, :-1] + t[:-1, :-1]) / ((h / height) * (w / width))
 
 
@@ -145,25 +159,34 @@ def tiles(df: DataFrame, media: str, side: int = 32) -> DataFrame:
     return append_columns(df, make, T.StructType().add("height", "integer").add("width", "integer").add("npy", "binary").add("dhash", "string"), media)
 
 
-def store_texts(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with each text's PGM, read back: n_bytes, payload_*, media_* digests, feature (difference hash) and npy_sha256."""
+def store_texts(df: DataFrame, text: str = "text", side: int = 16) -> DataFrame:
+    """df with each text's stored forms: n_bytes, pgm, and of that height, width, npy (a side x side tile) and dhash."""
 
     def make(column):
         raw, off = buffers(column)
+        out = []
+        for a, z in zip(off[:-1], off[1:], strict=True):
+            payload = np.zeros(max(WIDTH, -(-(z - a) // WIDTH) * WIDTH), np.uint8)
+            payload[: z - a] = raw[a:z]
+            out.append(encode_pgm(payload.reshape(-1, WIDTH)))
+        return [pa.array(np.diff(off)), pa.array(out, pa.large_binary()).cast(pa.binary())]
+
+    return tiles(append_columns(df, make, T.StructType().add("n_bytes", "long").add("pgm", "binary"), text), "pgm", side)
+
+
+def digests(stored: DataFrame) -> DataFrame:
+    """A table of store_texts, read back: its n_bytes and other columns, digests for pgm and npy, dhash as feature."""
+
+    def make(column):
         rows = []
-        for i in range(len(off) - 1):
-            b = raw[off[i] : off[i + 1]]
-            size = max(WIDTH, -(-len(b) // WIDTH) * WIDTH)
-            payload = np.zeros(size, np.uint8)
-            payload[: len(b)] = b
-            stored = encode_pgm(payload.reshape(-1, WIDTH))
-            pixels = decode(stored)
-            back = pixels.tobytes()
-            tile = npy(np.rint(resize(pixels, 8, 9)).astype(np.uint8))
-            rows.append((len(b), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(pixels), hashlib.sha256(tile).hexdigest()))
-        return [pa.array([r[k] for r in rows], pa.int64() if k in (0, 1, 3, 4) else pa.string()) for k in range(8)]
+        for v in column:
+            pgm = v.as_py()
+            payload = memoryview(np.ascontiguousarray(decode(pgm))).cast("B")
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(pgm), hashlib.sha256(pgm).hexdigest()))
+        return [pa.array([r[k] for r in rows], pa.string() if k in (1, 4) else pa.int64()) for k in range(5)]
 
     schema = T.StructType()
-    for name, kind in (("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("npy_sha256", "string")):
+    for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string")):
         schema = schema.add(name, kind)
-    return append_columns(df, make, schema, text)
+    done = append_columns(stored, make, schema, "pgm")
+    return done.withColumn("npy_sha256", F.sha2("npy", 256)).withColumnRenamed("dhash", "feature").drop("pgm", "npy", "height", "width")

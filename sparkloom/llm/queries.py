@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, hmm_lm, lang_id, licenses, media, mixing, near_dup, packing, quality, toxicity
-from .shared import read, remainder
+from .shared import read, remainder, table
 
 
 def learns(modulus: int, held: int):
@@ -72,7 +72,8 @@ def op7_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_text_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_texts(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    stored = media.store_texts(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return media.digests(table(stored, "media"))
 
 
 def toxicity_of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
