@@ -1,12 +1,14 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on awkward rows."""
 
 import hashlib
+import io
 import math
 import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from dataclasses import replace
+from itertools import combinations, product
 from pathlib import Path
 
 import numpy as np
@@ -56,6 +58,29 @@ def test_words_and_shingles():
     assert set(h[d == 0].tolist()) <= set(h[d == 4].tolist())
 
 
+def test_hashes_of_regular_words_differ():
+    """Thue-Morse words and their complements collide in polynomial hashes modulo 2**64."""
+    t = "a"
+    for _ in range(11):
+        t += t.translate({97: 98, 98: 97})
+    other = t.translate({97: 98, 98: 97})
+    many = [t[:n] for n in range(1, 80)] + [other[:n] for n in range(1, 80)] + [t, other, t[:1024], other[:1024], "a" * 32, "a" * 33, "a" * 32 + "b", "\x00", "\x00" * 2, "a\x00"]
+    raw, off = buffers(pa.array(many))
+    w = Words(raw, off)
+    assert w.counts().tolist() == [1] * len(many) and len(set(w.hash.tolist())) == len(many)
+    again = Words(*buffers(pa.array([" ".join(many)])))
+    assert again.hash.tolist() == w.hash.tolist()  # a hash depends on the word's bytes alone
+
+
+def test_near_dup_of_regular_words(spark):
+    t = "a"
+    for _ in range(10):
+        t += t.translate({97: 98, 98: 97})
+    d = spark.createDataFrame([(1, t), (2, t.translate({97: 98, 98: 97})), (3, t)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.link(d).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 50), (7, 7)], "a long, b long")
     assert {r["node"]: r["label"] for r in components(e).collect()} == {i: 1 for i in range(1, 31)} | {40: 40, 50: 40}
@@ -161,8 +186,9 @@ def test_packing(spark):
 
 def test_packing_vocabulary(spark):
     t = queries.byte_bpe()
-    for x in ("Hello  world\n\n", "<|endoftext|> é \U0001f600", "", "a" * 3000):
-        slow = packing.Tokenizer(t.path, None)
+    slow = packing.Tokenizer(t.path, None)
+    awkward = ["Hello  world\n\n", "<|endoftext|> é \U0001f600", "", "a" * 3000, " " * 9999 + "x", " " * 200_000 + "x", "\n\t" * 6000, "it's I'LL 'S 's don't", "x\u00a0\u2003y\u200bz \x1c\x1d\x85\u2028 \x00\ufeff", "١٢٣ ½ ² Ⅷ 中文字 हिन्दी é e\u0301 ǅ ﬁ \U0001d7d8", "a\r\n\r\n b   c", "!!??..::// ___ --- \u2014\u2014", "\U0010ffff\ue000\ufffd"]
+    for x in awkward + [r["text"] or "" for r in read(spark, "/root/testdata/sf0.01", "documents").collect()]:
         assert t(x).tolist() == slow(x).tolist()
     texts = {r["doc_id"]: r["text"] for r in read(spark, SF, "documents").select("doc_id", "text").collect()}
     rows = queries.op2_pack_sequences(spark, SF).collect()
@@ -183,26 +209,84 @@ def test_nnls_uses_pairs_that_fit():
 # ---- language model ----------------------------------------------------------------------------
 
 
+def plain_forward(m, x):
+    a = m.start * m.emit[x[0]]
+    for k in x[1:]:
+        a = (a @ m.move) * m.emit[k]
+    return math.log(a.sum())
+
+
 def test_forward_is_exact_and_em_climbs():
-    p = hmm_lm.HmmParams(states=3, own_words=2, affix_symbols=3)
+    """Segments of 4 and steps of 9 tokens against a plain recursion and sums over all paths."""
+    p = hmm_lm.HmmParams(states=3, own_words=2, affix_symbols=3, segment=4, step_tokens=9, smoothing=1e-9)
     rng = np.random.default_rng(0)
     lex = hmm_lm.Lexicon(*[np.zeros(0, t) for t in ("u8", "i8", "i8")], np.ones(p.symbols) * 2, 5, 3)
     m = hmm_lm.initial(p, lex)
-    lengths = np.array([3, 1, 6, 2, 6])
-    symbol = rng.integers(0, p.symbols, lengths.sum())
-    got = hmm_lm.forward(m, hmm_lm.Packed(symbol, lengths))
-    ends = np.cumsum(lengths)
-    for n, e, ll in zip(lengths, ends, got, strict=True):
-        a = m.start
-        for k, s in enumerate(symbol[e - n : e]):
-            a = (a if k == 0 else a @ m.move) * m.emit[s]
-        assert math.isclose(math.log(a.sum()), ll, rel_tol=1e-9)
-    before = got.sum()
+    lengths = np.array([3, 1, 6, 2, 17, 4, 5, 8])
+    symbol, ends = rng.integers(0, p.symbols, lengths.sum()), np.cumsum(lengths)
+    want = [plain_forward(m, symbol[e - n : e]) for n, e in zip(lengths, ends, strict=True)]
+    assert np.allclose(hmm_lm.log_likelihood(m, symbol, lengths, p), want, rtol=1e-10)
+    whole = replace(p, segment=1000, step_tokens=10_000)
+    for x, y in zip(hmm_lm.expected_counts(m, symbol, lengths, p), hmm_lm.expected_counts(m, symbol, lengths, whole), strict=True):
+        assert np.allclose(x, y)
+    for n in (10, 23, 60):  # one text longer than a step
+        one, size = rng.integers(0, p.symbols, n), np.array([n])
+        assert np.allclose(hmm_lm.log_likelihood(m, one, size, p), plain_forward(m, one))
+        for x, y in zip(hmm_lm.expected_counts(m, one, size, p), hmm_lm.expected_counts(m, one, size, whole), strict=True):
+            assert np.allclose(x, y)
+    one, total, starts, moves, emits = symbol[:5], 0.0, np.zeros(3), np.zeros((3, 3)), np.zeros((p.symbols, 3))
+    for path in product(range(3), repeat=5):
+        q = m.start[path[0]] * math.prod(m.emit[s, k] for s, k in zip(one, path, strict=True)) * math.prod(m.move[i, j] for i, j in zip(path[:-1], path[1:], strict=True))
+        total += q
+        starts[path[0]] += q
+        np.add.at(moves, (path[:-1], path[1:]), q)
+        np.add.at(emits, (one, path), q)
+    got = hmm_lm.expected_counts(m, one, np.array([5]), replace(p, segment=2))
+    for x, y in zip(got, (math.log(total), starts / total, moves / total, emits / total), strict=True):
+        assert np.allclose(x, y)
+    rises = []
     for _ in range(5):
-        s, mv, e = hmm_lm.expected(m, hmm_lm.Packed(symbol, lengths))
-        assert math.isclose(s.sum(), 5) and math.isclose(e.sum(), lengths.sum()) and math.isclose(mv.sum(), (lengths - 1).sum())
-        m = hmm_lm.maximise(np.concatenate([s[None], mv, e]), hmm_lm.HmmParams(states=3, own_words=2, affix_symbols=3, smoothing=1e-9), lex)
-    assert hmm_lm.forward(m, hmm_lm.Packed(symbol, lengths)).sum() > before
+        ll, s, mv, e = hmm_lm.expected_counts(m, symbol, lengths, p)
+        rises.append(ll)
+        m = hmm_lm.maximise(np.concatenate([s[None], mv, e]), p, lex)
+    assert rises == sorted(rises) and rises[-1] > rises[0] + 1
+
+
+def test_lm_scores_and_training_equal_plain_ones(spark, monkeypatch):
+    """Scores by a plain recursion over each text, and passes by plain sums; long texts come in pieces."""
+    p = hmm_lm.HmmParams(states=3, own_words=20, affix_symbols=16, head_words=50, segment=32, step_tokens=500, step_bytes=3000, passes=3, tolerance=0.0)
+    kept, train = {}, hmm_lm.train
+    monkeypatch.setattr(hmm_lm, "train", lambda rows, lex, p: kept.setdefault("model", (*train(rows, lex, p), lex))[:2])
+    docs = [(r["doc_id"], r["text"]) for r in read(spark, SF, "documents").limit(40).collect()] + [(10**6, "Some  words\x0b" * 3000), (10**6 + 1, None), (10**6 + 2, "x" * 9000 + " y")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in hmm_lm.score(d, p, queries.learns(7, 2)).collect()}
+    m, rises, lex = kept["model"]
+    assert len(rises) == 3 and rises == sorted(rises)
+    vocab = {r["h"] & (2**64 - 1): r["c"] for r in hmm_lm.word_counts(d.where(queries.learns(7, 2)(F.col("doc_id"))).select("doc_id", "text"), p).collect()}
+    n_end = vocab[int(hmm_lm.END)]
+    sequences = []
+    for i, t in docs:
+        raw, off = buffers(pa.array([t]))
+        w = Words(raw, off)
+        x = [*lex.symbols(w, p)[0].tolist(), p.own_words]
+        share = sum(math.log10((vocab.get(h, 0) + 1) / lex.size[s]) for h, s in zip(w.hash.tolist(), x, strict=False)) + math.log10((n_end + 1) / lex.size[p.own_words])
+        assert got[i]["n_tokens"] == len(words(t)) + 1
+        assert math.isclose(got[i]["score"], share + plain_forward_scaled(m, x), rel_tol=1e-9)
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            sequences.append(np.array(x))
+    # one more pass over all learning texts gives the likelihood that the model now has
+    whole = replace(p, segment=10**6, step_tokens=10**7)
+    now = sum(hmm_lm.expected_counts(m, x, np.array([len(x)]), whole)[0] for x in sequences) / math.log(10) / sum(map(len, sequences))
+    assert now > rises[-1]
+
+
+def plain_forward_scaled(m, x):
+    a, out = None, 0.0
+    for k in x:
+        a = (m.start if a is None else a @ m.move) * m.emit[k]
+        out += math.log10(a.sum())
+        a = a / a.sum()
+    return out
 
 
 def test_lm_base_score_and_gain(spark):
@@ -258,6 +342,48 @@ def test_language_id(spark):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
+def test_language_equals_plain_compression(spark):
+    """Dictionaries and sizes without Spark; all learning rows are in the sample."""
+    import zstandard
+
+    d = read(spark, SF, "documents")
+    p = lang_id.LanguageParams(docs_per_language=10**6, dictionary_bytes=4000)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in d.collect()]
+    counts, n_docs = defaultdict(Counter), Counter()
+    clean = lambda t: re.sub(rb"[\x00-\x7f]", lambda c: c[0] if c[0].isalpha() else b" ", t.lower().encode()).split()
+    for i, t, l in rows:
+        if t is not None and l is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[l].update(clean(t))
+            n_docs[l] += 1
+    best = {l: b" ".join(w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: p.dictionary_bytes // 2][::-1])[-p.dictionary_bytes :] for l, c in counts.items()}
+    found = lang_id.learn(d, p, queries.learns(3, 1))
+    assert found == best and list(found) == sorted(best, key=lambda l: (-n_docs[l], l))
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.predict(d, found, p).collect()}
+    for i, t, _ in rows:
+        if t is None or not re.search(r"[^\W\d_]", t):
+            assert got[i] == "und"
+            continue
+        b = b" ".join(clean(t))
+        sizes = []
+        for k, l in enumerate(found):
+            coder = zstandard.ZstdCompressor(level=p.level, dict_data=zstandard.ZstdCompressionDict(found[l], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False)
+            sizes.append((sum(len(coder.compress(b[a : a + p.segment])) for a in range(0, len(b), p.segment)), k, l))
+        assert got[i] == min(sizes)[2]
+
+
+def test_language_counts_repeated_words(spark):
+    """The text's words decide, not its vocabulary: mostly one language, a few distinct words of the other."""
+    de, en = "strasse werk hund katze baum haus".split(), "street work river table candle mother window garden orange yellow silver winter".split()
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(de if i % 2 else en, 80)), "de" if i % 2 else "en", "s") for i in range(60)]
+    mixed = " ".join([" ".join(rng.choice(de, 40)) + " " + w for w in en])
+    found = lang_id.learn(spark.createDataFrame(rows, DOC), lang_id.LanguageParams(), queries.learns(3, 1))
+    out = lang_id.predict(spark.createDataFrame([(1, mixed, None, None)], DOC), found).collect()
+    assert out[0]["lang_pred"] == "de"
+    none = spark.createDataFrame([], DOC)
+    assert lang_id.predict(none, found).count() == 0
+
+
 def test_language_awkward(awkward, no_rows):
     p = lang_id.LanguageParams()
     found = lang_id.learn(awkward, p, queries.learns(3, 1))
@@ -275,6 +401,39 @@ def test_toxicity(spark):
     assert right > 0.95 and missed < 0.35
 
 
+def test_toxicity_equals_plain_ftrl(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = ["calm", "nice", "tree", "bad", "vile", "Foul"]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 3 if i % 3 else 6], 5)) + "!", int(i % 3 == 0)) for i in range(60)] + [(100, None, 0), (101, "", 1)]
+    p = toxicity.ToxicityParams(l1=0.5, epochs=3)
+    z, n, b = Counter(), Counter(), [0.0, 0.0]
+
+    def found(text):
+        w = re.findall("[a-z0-9]+", (text or "").lower())
+        return {(x,) for x in w} | {(w[i], w[i + g], g) for g in (1, 2, 3) for i in range(len(w) - g)}
+
+    def weight(zz, nn, l1):
+        return 0.0 if abs(zz) <= l1 else (math.copysign(l1, zz) - zz) / ((p.beta + math.sqrt(nn)) / p.alpha + p.l2)
+
+    def margin(text):
+        return sum(weight(z[f], n[f], p.l1) for f in found(text)) + weight(*b, 0.0)
+
+    for _ in range(p.epochs):
+        for i, text, y in sorted(rows, key=lambda r: zlib.crc32(str(r[0]).encode())):
+            g = 1 / (1 + math.exp(-margin(text))) - y
+            old = {f: weight(z[f], n[f], p.l1) for f in found(text)}
+            for f, w in old.items():
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / p.alpha * w
+                n[f] += g * g
+            w = weight(*b, 0.0)
+            b[0] += g - (math.sqrt(b[1] + g * g) - math.sqrt(b[1])) / p.alpha * w
+            b[1] += g * g
+    d = spark.createDataFrame(rows, "id long, text string, label int")
+    got = {r["id"]: r["score"] for r in toxicity.score(d, toxicity.train(d, p), p).collect()}
+    for i, text, _ in rows:
+        assert math.isclose(got[i], 1 / (1 + math.exp(-margin(text))), rel_tol=1e-9)
+
+
 def test_toxicity_awkward(spark, awkward, no_rows):
     labels = spark.createDataFrame([(4, 1), (6, 0), (None, 1), (5, None), (8, 0)], "doc_id long, toxic int")
     p = toxicity.ToxicityParams()
@@ -293,6 +452,57 @@ def test_quality(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / max(len(bad), 1) < 0.4
 
 
+def test_quality_equals_plain_sums(spark):
+    d = read(spark, SF, "documents").select("doc_id", "text", "source", "lang")
+    labels = read(spark, SF, "labels")
+    rows, y = d.collect(), {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    x = quality.features(pa.array([r["text"] for r in rows]))
+    for r, f in zip(rows, x, strict=True):
+        t, b = words(r["text"]), (r["text"] or "").encode()
+        n, size, letters_ = max(len(t), 1), max(len(b), 1), sum(chr(c).isalpha() for c in b if c < 128)
+        plain = [math.log1p(len(t)), sum(len(w.encode()) for w in t) / n, len(set(t)) / n, sum(p == q for p, q in zip(t, t[1:], strict=False)) / n, sum(65 <= c <= 90 for c in b) / max(letters_, 1)]
+        plain += [sum(32 < c < 128 and not chr(c).isalpha() for c in b) / size, b.count(b"!") / size, b.count(b"|") / size, sum(48 <= c <= 57 for c in b) / size, len(set(zip(t, t[1:], strict=False))) / n]
+        assert np.allclose(f, plain)
+    p = quality.QualityParams()
+    m = quality.train(d, labels, p, queries.learns(4, 2))
+    on = [k for k, r in enumerate(rows) if r["doc_id"] in y]
+    z = np.clip((x[on] - m.mean) / m.scale, -8, 8)
+    z = np.concatenate([z, z**2, np.ones((len(on), 1))], 1)
+    goal = np.array([y[rows[k]["doc_id"]] for k in on])
+    slope = z.T @ (1 / (1 + np.exp(-z @ m.weight)) - goal) / len(on) + p.ridge * m.weight
+    assert np.abs(slope).max() < 1e-5  # the one minimum of a convex loss
+    e = quality.with_evidence(d, m)
+    sites = quality.sites(e.select(F.col("doc_id").alias("id"), F.col("source").alias("host"), F.col("lang").alias("path"), "p_doc"), labels, p, queries.learns(4, 2))
+    p_doc = m.probability(x)
+    per = defaultdict(lambda: np.zeros(4))
+    for r, q in zip(rows, p_doc, strict=True):
+        for key in ((r["source"],), (r["source"], r["lang"])):
+            per[key] += [r["doc_id"] in y, y.get(r["doc_id"], 0), r["doc_id"] not in y, 0 if r["doc_id"] in y else q]
+    total = sum(v for k, v in per.items() if len(k) == 1)
+    top = (total[1] + 1) / (total[0] + 2)
+
+    def rates(keys, parent):
+        v, e_, ns, b, j = 0.0, 0.0, [], [], 0
+        for k in keys:
+            n, good = per[k][:2]
+            if n:
+                v, e_, j = v + n * (good / n - parent(k)) ** 2, e_ + parent(k) * (1 - parent(k)), j + 1
+                ns.append(n), b.append(parent(k) * (1 - parent(k)))
+        spread = sum(ns) - sum(n * n for n in ns) / sum(ns) if ns else 0
+        s = 50.0 if j < 2 or spread <= 0 else min(max(sum(b) / j / max((v - e_) / spread, 1e-6) - 1, 1.0), 1e5)
+        return {k: (per[k][1] + p.soft * per[k][3] + s * parent(k)) / (per[k][0] + p.soft * per[k][2] + s) for k in keys}
+
+    hosts = rates([k for k in per if len(k) == 1], lambda k: top)
+    paths = rates([k for k in per if len(k) == 2], lambda k: hosts[k[:1]])
+    got = {(r["host"], r["path"]): r["path_rate"] for r in sites.collect()}
+    assert got.keys() == paths.keys() and all(math.isclose(got[k], paths[k], rel_tol=1e-6) for k in got)
+    out = {r["doc_id"]: r for r in quality.posterior(e, sites, m, p, "source", "lang").collect()}
+    odds = lambda q: math.log(min(max(q, 1e-9), 1 - 1e-9) / (1 - min(max(q, 1e-9), 1 - 1e-9)))
+    for r, q in zip(rows, p_doc, strict=True):
+        want = 1 / (1 + math.exp(-(odds(q) - math.log(m.prior / (1 - m.prior)) + odds(paths[(r["source"], r["lang"])]))))
+        assert math.isclose(out[r["doc_id"]]["posterior"], want, rel_tol=1e-6) and out[r["doc_id"]]["keep"] == (out[r["doc_id"]]["posterior"] >= 0.5)
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rows = [(i, "big", "x", 0.5) for i in range(400)] + [(400, "tiny", "y", 0.5), (401, None, None, 0.5)]
     e = spark.createDataFrame(rows, "id long, host string, path string, p_doc double")
@@ -340,13 +550,38 @@ def test_media_formats():
     assert np.allclose(media.resize(fine, 5, 7), grey)
 
 
+def plain_resize(pixels, height, width):
+    """Exact area means by way of an image large enough for both sizes."""
+    h, w = pixels.shape
+    return np.kron(pixels.astype(float), np.ones((height, width))).reshape(height, h, width, w).mean((1, 3))
+
+
+def test_resize_of_tall_images(monkeypatch):
+    x = np.random.default_rng(4).integers(0, 256, (37, 64), dtype=np.uint8)
+    for strip in (1, 5, 36, 4096):
+        monkeypatch.setattr(media, "STRIP", strip)
+        for size in ((8, 9), (1, 1), (37, 64), (50, 70)):
+            assert np.allclose(media.resize(x, *size), plain_resize(x, *size))
+
+
 def test_media_texts(spark, awkward):
-    for r in media.store_texts(awkward).collect():
+    side, rows = 16, media.store_texts(awkward, side=16)
+    texts = {(r["pgm"], r["npy"]): r["text"] for r in rows.collect()}
+    for (pgm, npy), text in texts.items():  # the stored forms: a lossless image, and a tile of exact means
+        b = (text or "").encode()
+        pixels = media.decode(pgm)
+        assert pixels.tobytes()[: len(b)] == b and not any(pixels.tobytes()[len(b) :])
+        assert (np.load(io.BytesIO(npy)) == np.rint(plain_resize(pixels, side, side))).all() if pixels.shape[0] < 99 else True
+    for r in media.digests(rows).collect():
         b = (r["text"] or "").encode()
         payload = b + bytes(max(64, -(-len(b) // 64) * 64) - len(b))
         stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest()) and len(r["feature"]) == 16
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest()) and r["npy_sha256"] in {hashlib.sha256(n).hexdigest() for _, n in texts}
+        if len(payload) < 6400:
+            small = np.round(plain_resize(np.frombuffer(payload, np.uint8).reshape(-1, 64), 8, 9), 6)
+            assert r["feature"] == np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
+    assert media.digests(media.store_texts(awkward.limit(0))).count() == 0
     d = spark.createDataFrame([(media.encode_bmp(np.eye(9, dtype=np.uint8) * 200),), (None,), (b"x",)], "m binary")
     t = media.tiles(d, "m").collect()
     assert t[0]["height"] == 9 and t[0]["npy"][:6] == b"\x93NUMPY" and t[1]["dhash"] is None and t[2]["npy"] is None
@@ -384,6 +619,33 @@ def test_ann_awkward(spark):
     assert {x["vec_id"] for x in r if x["query_id"] == 20} == set(range(6, 147, 7)) - {20}
 
 
+@pytest.mark.parametrize("scale", [1e-200, 1e-20, 1e15, 1e20, 1e160, 1e307])
+def test_ann_of_any_scale(spark, scale):
+    x = np.random.default_rng(8).standard_normal((600, 16)) + 0.5
+    want = {i: [int(j) for j in np.lexsort((np.arange(600), -(x @ x[i]))) if j != i][:20] for i in range(0, 600, 20)}
+    d = spark.createDataFrame([(i, (v * scale).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(d, lambda c: c % 20 == 0, ann.AnnParams(sample=64)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+        assert not math.isnan(r["score"])
+    assert sum(len(set(want[i]) & set(got[i])) for i in want) > 0.99 * 20 * len(want)
+
+
+def test_ann_of_mixed_scales_and_repeated_ids(spark):
+    rows = [(i, [10.0 ** (i % 40 * 7 - 140), float(i)]) for i in range(200)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(d, lambda c: c % 20 == 0, ann.AnnParams(sample=64)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    x = np.array([v for _, v in rows])
+    for i in range(0, 200, 20):
+        assert got[i] == [j for j in np.lexsort((np.arange(200), -(x @ x[i]))) if j != i][:20]
+    # rows of one id: each is a query, and a candidate for the others; columns that clash are left alone
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [3.0, 0.0])], "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "vec", "uid", "u", "q")})
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in ann.search(twice, lambda c: c % 20 == 0).collect()]
+    assert sorted(got) == [(0, 0, 2.0), (0, 0, 2.0), (0, 1, 3.0), (0, 1, 6.0)]
+
+
 def test_mixing_meets_marginals(spark):
     rng = np.random.default_rng(2)
     cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", int(rng.integers(50, 900))) for i in range(4) for j in range(3) for k in range(2)], "source string, lang string, topic string, tokens long")
@@ -403,7 +665,7 @@ def test_mixing_meets_marginals(spark):
 
 def test_mixing_awkward(awkward, no_rows):
     out = mixing.mix(awkward)
-    assert out.count() == len(AWKWARD) and out.where("sampled is null").count() <= 1
+    assert out.count() == len(AWKWARD) and out.where("sampled is null").count() == 0
     assert [c.lower() for c in out.columns].count("weight") == 1
     assert {r["mix_tokens"] for r in out.where("doc_id in (1, 2, 3)").collect()} == {0}
     assert mixing.mix(no_rows).count() == 0
