@@ -50,20 +50,18 @@ def op5_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_of(spark: SparkSession, docs: DataFrame, sf_dir: str, keep_columns: bool = False) -> DataFrame:
-    """Posteriors of docs: hosts are sources, paths are languages within them. Without keep_columns only ids and keys go on."""
+    """Posteriors of docs: hosts are sources, paths are languages within them. Features are made once, into a written table; texts go with them if keep_columns."""
     p, labels = quality.QualityParams(), read(spark, sf_dir, "labels")
     model = quality.train(docs, labels, p, learns(4, 2))
-    small = quality.with_evidence(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("host"), F.col("lang").alias("path"), "text"), model).drop("text")
-    evidence = quality.table(small, "evidence")
-    rates = quality.sites(evidence, labels, p, learns(4, 2))
-    if keep_columns:
-        return quality.posterior(quality.with_evidence(docs, model), rates, model, p, "source", "lang")
-    return quality.posterior(evidence, rates, model, p).withColumnRenamed("id", "doc_id")
+    evidence = quality.with_evidence(docs, model)
+    evidence = table(evidence if keep_columns else evidence.drop("text"), "evidence")
+    rates = quality.sites(evidence.select(F.col("doc_id").alias("id"), F.col("source").alias("host"), F.col("lang").alias("path"), "p_doc"), labels, p, learns(4, 2))
+    return quality.posterior(evidence, rates, model, p, "source", "lang")
 
 
 def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_of(spark, read(spark, sf_dir, "documents"), sf_dir)
-    return out.select("doc_id", F.col("host").alias("source"), F.col("path").alias("lang"), "p_doc", "host_rate", "path_rate", "posterior", "keep")
+    out = quality_of(spark, read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), sf_dir)
+    return out.select("doc_id", "source", "lang", "p_doc", "host_rate", "path_rate", "posterior", "keep")
 
 
 def op7_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
