@@ -2,7 +2,7 @@
 
 Python is parsed by its own `ast`. For other languages a lexer masks strings and comments (keeping every
 offset), and rules by language find definitions, whose range ends with the matching brace or, in Ruby, `end`.
-A file that can't be parsed gives one row in the errors, and no others.
+A file that can't be parsed gives a row in extract_errors; its symbols and references are none, its chunks lines.
 """
 
 from __future__ import annotations
@@ -43,6 +43,25 @@ _HASH = {"python", "ruby", "php"}
 _TICKS = {"javascript", "typescript", "go"}
 
 
+#: A `/` begins a regular expression after nothing, an operator, an opening bracket or one of some words.
+_REGEX_BEFORE = re.compile(r"(?:^|[=(,:\[!&|?{};+\-*%<>~^\n]|\b(?:return|typeof|case|in|of|delete|void|throw|new|else|do))[ \t]*$")
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/")
+_RAW = re.compile(r'b?r(#*)"')
+
+
+def _template(text: str, at: int, blank, depths: list[int]) -> int:
+    """Blanks template text from `at` on; the offset after its end, or within a `${`, which then is open in depths."""
+    j, n = at, len(text)
+    while j < n and text[j] != "`":
+        if text.startswith("${", j):
+            blank(at, j)
+            depths.append(0)
+            return j + 2
+        j += 2 if text[j] == "\\" else 1
+    blank(at, j)
+    return j + 1
+
+
 def mask(text: str, language: str) -> str:
     """The text with the insides of strings and comments blanked; line ends and length stay."""
     out, i, n = list(text), 0, len(text)
@@ -52,9 +71,18 @@ def mask(text: str, language: str) -> str:
             if out[k] != "\n":
                 out[k] = " "
 
+    script = language in ("javascript", "typescript")
+    depths: list[int] = []  # braces open within each `${` that is open
+
     while i < n:
         c = text[i]
         two = text[i : i + 2]
+        if depths and c in "{}":
+            depths[-1] += 1 if c == "{" else -1
+            if depths[-1] < 0:  # the template goes on
+                depths.pop()
+                i = _template(text, i + 1, blank, depths)
+                continue
         if two == "//" and language not in ("python", "ruby") or c == "#" and language in _HASH:
             end = text.find("\n", i)
             end = n if end < 0 else end
@@ -65,6 +93,16 @@ def mask(text: str, language: str) -> str:
             end = n if end < 0 else end + 2
             blank(i, end)
             i = end
+        elif language == "rust" and c in "rb" and (raw := _RAW.match(text, i)) and not (i and (text[i - 1].isalnum() or text[i - 1] == "_")):
+            end = text.find('"' + raw.group(1), raw.end())
+            end = n if end < 0 else end
+            blank(raw.end(), end)
+            i = end + 1 + len(raw.group(1))
+        elif script and c == "`":
+            i = _template(text, i + 1, blank, depths)
+        elif script and c == "/" and _REGEX_BEFORE.search("".join(out[max(0, i - 40) : i])) and (r := _REGEX.match(text, i)):
+            blank(i + 1, r.end() - 1)
+            i = r.end()
         elif c in "\"'" or c == "`" and language in _TICKS:
             if language == "rust" and c == "'" and not re.match(r"'(\\.[^']*|[^'\\])'", text[i : i + 12]):
                 i += 1  # a lifetime
@@ -253,7 +291,7 @@ def references(text: str, language: str) -> list[Ref]:
     defined = {m.start(1) for _, rule in RULES[language] for m in re.finditer(rule, masked, re.M)}
     for m in re.finditer(rf"((?:{_ID}\s*{sep}\s*)*)({_ID})(?:::<[^()]*>)?\s*\(", masked):
         name = m.group(2)
-        if name in _WORDS and not m.group(1) or m.start(2) in defined or re.search(r"\b(?:fn|func|function|def)\s+$", masked[max(0, m.start() - 12) : m.start()]):
+        if (name in _WORDS or language == "go" and name == "import") and not m.group(1) or m.start(1) in defined or m.start(2) in defined or re.search(r"\b(?:fn|func|function|def)\s+$", masked[max(0, m.start() - 12) : m.start()]):
             continue
         context = re.sub(rf"\s*{sep}\s*$", "", m.group(1)) or None
         add("call", name, None, re.sub(r"\s+", "", context) if context else None, m.start(2))
@@ -342,6 +380,12 @@ def chunks(text: str, language: str, max_chars: int = 2000) -> list[Chunk]:
     return [c for c in out if _size(c.text)]
 
 
+def definition_chunks(text: str, language: str) -> list[Chunk]:
+    """Query mode: each definition is a chunk of its own, inner ones too; nothing is merged or cut."""
+    lines = text.splitlines(keepends=True)
+    return [Chunk("".join(lines[s.start - 1 : s.end]), s.start, s.end, s.kind, ()) for s in symbols(text, language)]
+
+
 def limit_tokens(c: Chunk, max_tokens: int = 512, overlap: int = 50, strategy: str = "split") -> list[Chunk]:
     """The chunk itself, its first piece (`truncate`), or pieces that end at line, sentence or word ends and overlap."""
     if count_tokens(c.text) <= max_tokens:
@@ -395,7 +439,8 @@ def code_item(text: str, language: str, wanted: str) -> str | None:
 # ---- Spark -------------------------------------------------------------------------------------
 
 
-def _apply(files: DataFrame, schema: str, names: list[str], rows_of) -> DataFrame:
+def _apply(files: DataFrame, schema: str, names: list[str], rows_of, failed=None) -> DataFrame:
+    """rows_of(path, language, content) of each file; of one that can't be parsed failed(path, error), or nothing."""
     fields = files.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -407,8 +452,8 @@ def _apply(files: DataFrame, schema: str, names: list[str], rows_of) -> DataFram
             for path, language, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
                     rows += rows_of(path, language, content or "")
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
+                except (SyntaxError, ValueError, RecursionError) as e:
+                    rows += failed(path, e) if failed else []
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=shape)
 
     return files.select("path", "language", "content").mapInArrow(run, schema)
@@ -424,12 +469,23 @@ def extract_refs(files: DataFrame) -> DataFrame:
     return _apply(files, REFS, names, lambda p, lang, t: [(p, r.kind, r.name, r.alias, r.context, r.line) for r in references(t, lang)])
 
 
-def extract_chunks(files: DataFrame, max_chars: int = 2000, max_tokens: int = 512, overlap: int = 50, strategy: str = "split") -> DataFrame:
+def extract_errors(files: DataFrame) -> DataFrame:
+    """path, error: files whose symbols can't be found, for want of rules or because they can't be parsed."""
+
+    def check(p, lang, t):
+        symbols(t, lang)
+        return []
+
+    return _apply(files, "path string, error string", ["path", "error"], check, lambda p, e: [(p, f"{type(e).__name__}: {e}")])
+
+
+def extract_chunks(files: DataFrame, max_chars: int = 2000, max_tokens: int = 512, overlap: int = 50, strategy: str = "split", ast: bool = True) -> DataFrame:
+    """Chunks by syntax, or with ast=False by definition."""
     names = ["chunk_id", "path", "content", "start_line", "end_line", "node_type", "scopes"]
 
     def rows(p, lang, t):
         out = []
-        for c in chunks(t, lang, max_chars):
+        for c in chunks(t, lang, max_chars) if ast else definition_chunks(t, lang):
             pieces = limit_tokens(c, max_tokens, overlap, strategy)
             for i, x in enumerate(pieces):
                 key = p + x.text + (str(i) if len(pieces) > 1 else "")
@@ -439,6 +495,27 @@ def extract_chunks(files: DataFrame, max_chars: int = 2000, max_tokens: int = 51
     return _apply(files, CHUNKS, names, rows)
 
 
+def outlines(files: DataFrame) -> DataFrame:
+    return _apply(files, "path string, outline string", ["path", "outline"], lambda p, lang, t: [(p, outline(symbols(t, lang)))])
+
+
+def code_items(files: DataFrame, wanted: str) -> DataFrame:
+    """path, code of `name` or `Parent.name` in the files that have it."""
+    return _apply(files, "path string, code string", ["path", "code"], lambda p, lang, t: [(p, c) for c in [code_item(t, lang, wanted)] if c is not None])
+
+
+def with_token_counts(df: DataFrame, content: str = "content") -> DataFrame:
+    """df with `tokens`."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("long")
+    def count(texts):
+        return texts.fillna("").map(count_tokens)
+
+    return df.withColumn("tokens", count(F.col(content)))
+
+
 def embed(texts, dim: int = 64):
     """Deterministic hashing vectors of unit length, one for each text."""
     import numpy as np
@@ -452,8 +529,8 @@ def embed(texts, dim: int = 64):
     return out / np.where(n > 0, n, 1)
 
 
-def with_embeddings(chunks_: DataFrame, dim: int = 64, embedder=embed) -> DataFrame:
-    """chunks with `embedding`; null for texts whose vector is zero."""
+def with_embeddings(chunks_: DataFrame, dim: int = 64, embedder=embed, batch: int = 512) -> DataFrame:
+    """chunks with `embedding`, made for at most `batch` texts at a time; null for texts whose vector is zero."""
     from pyspark.sql import functions as F
     from pyspark.sql.functions import pandas_udf
 
@@ -461,7 +538,8 @@ def with_embeddings(chunks_: DataFrame, dim: int = 64, embedder=embed) -> DataFr
     def run(texts):
         import pandas as pd
 
-        vs = embedder(list(texts), dim)
+        given = list(texts)
+        vs = [v for a in range(0, len(given), batch) for v in embedder(given[a : a + batch], dim)]
         return pd.Series([v.tolist() if v.any() else None for v in vs])
 
     return chunks_.withColumn("embedding", run(F.col("content")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import dirname, pascal_case
+from ..store import written
 
 TYPE_KINDS = ("class", "struct", "enum", "interface")
 
@@ -58,24 +59,55 @@ def import_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.join(p.select(F.col("id").alias("src"), F.col("path").alias("src_path")), "src").join(p.select(F.col("id").alias("dst"), F.col("path").alias("dst_path")), "dst")
 
 
-def start_nodes(nodes: DataFrame, symbols: DataFrame, files: DataFrame, text: str) -> DataFrame:
+def start_nodes(nodes: DataFrame, symbols: DataFrame, files: DataFrame, text: str, path_part: str | None = None) -> DataFrame:
     """The node of that id, or candidates by label."""
     by_id = nodes.where(F.col("id") == text)
-    return by_id if by_id.limit(1).count() else find_by_label(symbols, files, text)
+    return by_id if by_id.limit(1).count() else find_by_label(symbols, files, text, path_part)
+
+
+def without_start(nodes: DataFrame, start: str) -> DataFrame:
+    """nodes but the one whose id or label is `start`."""
+    return nodes.where(~(F.col("id").eqNullSafe(start) | F.col("label").eqNullSafe(start)))
+
+
+def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """edges and those of new that they lack; adding an edge again changes nothing."""
+    return edges.unionByName(new.select("src", "dst", "relation")).dropDuplicates(["src", "dst", "relation"])
+
+
+def importers(edges: DataFrame, nodes: DataFrame, path: str, limit: int = 3) -> DataFrame:
+    """path: files that hold an import of something in `path`, in order."""
+    inner = nodes.where(F.col("path") == path).select(F.col("id").alias("dst"))
+    src = edges.where("relation = 'imports'").join(inner, "dst", "left_semi").select(F.col("src").alias("id"))
+    return src.join(nodes.select("id", "path"), "id").where(F.col("path") != path).select("path").distinct().orderBy("path").limit(limit)
+
+
+def as_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row, json: a subgraph's nodes and edges in id order. For results that a person looks at."""
+    n = nodes.agg(F.array_sort(F.collect_list(F.struct("id", "label", "kind", F.col("path").alias("file_path")))).alias("nodes"))
+    e = edges.agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("relation").alias("kind")))).alias("edges"))
+    return n.crossJoin(e).select(F.to_json(F.struct("nodes", "edges")).alias("json"))  # one row each
+
+
+def inspect(nodes: DataFrame, chunks: DataFrame, wanted: str) -> DataFrame:
+    """type, id, label, path, start_line, end_line, content of the chunk of that id, else of the node; no row if there is neither."""
+    nothing = F.lit(None)
+    c = chunks.where(F.col("chunk_id") == wanted).select(F.lit("chunk").alias("type"), F.col("chunk_id").alias("id"), F.lit("chunk").alias("label"), "path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "content", F.lit(0).alias("turn"))
+    n = nodes.where(F.col("id") == wanted).select(F.col("kind").alias("type"), "id", "label", "path", nothing.cast("long").alias("start_line"), nothing.cast("long").alias("end_line"), nothing.cast("string").alias("content"), F.lit(1).alias("turn"))
+    return c.union(n).orderBy("turn").limit(1).drop("turn")
 
 
 def bfs(edges: DataFrame, start: str, direction: str, max_hops: int, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes with hop, edges) within max_hops. One join a hop, against nodes not seen before; checkpoints cut lineage."""
+    """(nodes with hop, edges) within max_hops. One join a hop, against nodes not seen before; each hop is written, so none is done again."""
     spark = edges.sparkSession
     e = edges.where(F.col("relation").isin(kinds)) if kinds else edges
     here, there = ("src", "dst") if direction == "out" else ("dst", "src")
     seen = spark.createDataFrame([(start, 0)], "id string, hop int")
     front, taken = seen, e.limit(0)
-    keep = _keeper(spark)
     for hop in range(1, max_hops + 1):
-        step = keep(e.join(front.select(F.col("id").alias(here)), here).select("src", "dst", "relation"))
+        step = written(e.join(front.select(F.col("id").alias(here)), here).select("src", "dst", "relation"), "hop")
         taken = taken.union(step)
-        front = keep(step.select(F.col(there).alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop")))
+        front = written(step.select(F.col(there).alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop")), "front")
         if not front.limit(1).count():
             break
         seen = seen.union(front)
@@ -94,9 +126,8 @@ def weighted(edges: DataFrame, start: str, max_depth: int, decay: float, weights
     w = F.create_map(*[F.lit(x) for kv in sorted(weights.items()) for x in kv])
     e = edges.select("src", "dst", (F.coalesce(F.try_element_at(w, F.col("relation")), F.lit(0.0)) * decay).alias("w")).where("w > 0")
     best = front = spark.createDataFrame([(start, 1.0)], "id string, score double")
-    keep = _keeper(spark)
     for _ in range(max_depth):
-        front = keep(front.join(e, F.col("id") == F.col("src")).groupBy("dst").agg(F.max(F.col("score") * F.col("w")).alias("score")).select(F.col("dst").alias("id"), "score"))
+        front = written(front.join(e, F.col("id") == F.col("src")).groupBy("dst").agg(F.max(F.col("score") * F.col("w")).alias("score")).select(F.col("dst").alias("id"), "score"), "front")
         best = best.union(front)
     return best.groupBy("id").agg(F.max("score").alias("score"))
 
@@ -121,9 +152,3 @@ def coupling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     e = e.where("source_module <> target_module and source_module <> '' and target_module <> ''")
     return e.groupBy("source_module", "target_module").agg(F.count("*").alias("strength"))
 
-
-def _keeper(spark):
-    """Cuts lineage where a checkpoint folder is set; elsewhere the plan just grows by a join a hop."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return lambda df: df.checkpoint()
-    return lambda df: df

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import boost, dot, terms
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf, dl: the inverted index."""
-    t = chunks.select("chunk_id", terms(F.col("content")).alias("ts"))
-    return t.select("chunk_id", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def postings(chunks: DataFrame, *keep: str) -> DataFrame:
+    """term, chunk_id, tf, dl and the columns to keep: the inverted index."""
+    t = chunks.select("chunk_id", *keep, terms(F.col("content")).alias("ts"))
+    return t.select("chunk_id", *keep, F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "chunk_id", *keep).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def query_terms(query: str) -> list[str]:
@@ -83,6 +83,39 @@ def fuse(parts: dict[str, DataFrame], weights: dict[str, float], limit: int) ->
     return out.withColumn("score", total).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
+def query_text(query: str, keywords: list[str] | None = None) -> str:
+    """What both kinds of search are asked: the query and its keywords."""
+    return " ".join([query, *keywords]) if keywords else query
+
+
+def hybrid(chunks: DataFrame, index: DataFrame, edges: DataFrame, query: str, vector: list[float] | None, limit: int, weights: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """chunk_id, lexical, vector, score: text and vector search fused; text alone where the query has no vector."""
+    parts = {"lexical": bm25(index, query, k1, b)}
+    if vector is not None:
+        hits = knn(chunks, vector, max(10, limit * 3))
+        parts["vector"] = rerank(hits, edges, limit * 3).select("chunk_id", F.col("final_score").alias("score"))
+    return fuse(parts, weights, limit)
+
+
+def library_search(hits: DataFrame, symbols: DataFrame, query: str, limit: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(chunk_id with score 1.0, symbols whose name holds the query, in id order)."""
+    return hits.select("chunk_id").distinct().withColumn("score", F.lit(1.0)), symbols.where(F.col("name").contains(query)).orderBy("symbol_id").limit(limit)
+
+
+def context_graph(anchors: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """anchors (chunk_id, score), files (path), symbols (id, label, kind, path) and edges around the anchors.
+
+    Symbols are those that contain an anchor, and what these have edges to, chunks aside; edges are those
+    between them, and from the containing symbols to their chunks.
+    """
+    scored = with_context(anchors, edges)
+    holds = edges.where("relation = 'contains'").join(anchors.select(F.col("chunk_id").alias("dst")), "dst", "left_semi")
+    holders = holds.select("src").distinct()
+    out = edges.join(holders, "src", "left_semi").select("src", "dst", "relation").distinct()
+    ids = holders.select(F.col("src").alias("id")).union(out.where("relation <> 'contains'").select("dst")).distinct()
+    return {"anchors": scored, "files": chunks.join(anchors.select("chunk_id"), "chunk_id", "left_semi").select("path").distinct(), "symbols": nodes.join(ids, "id", "left_semi"), "edges": out}
+
+
 def with_context(anchors: DataFrame, edges: DataFrame) -> DataFrame:
     """chunk_id, score: anchors 1.0, other chunks of the anchors' symbols 0.5."""
     e = edges.where("relation = 'contains'")
@@ -92,11 +125,12 @@ def with_context(anchors: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def group_by_symbol(chunks: DataFrame, edges: DataFrame) -> DataFrame:
-    """symbol (null if none), min_start, max_end, text: a symbol's chunks in order, gaps of lines marked."""
+    """symbol, min_start, max_end, text: a symbol's chunks in order, gaps of lines marked; a chunk without a symbol is a row with a null one."""
     e = edges.where("relation = 'contains'").groupBy(F.col("dst").alias("chunk_id")).agg(F.min("src").alias("symbol"))
     c = chunks.join(e, "chunk_id", "left")
     piece = F.struct("start_line", "end_line", "chunk_id", "content")
-    g = c.groupBy("symbol").agg(F.min("start_line").alias("min_start"), F.max("end_line").alias("max_end"), F.array_sort(F.collect_list(piece)).alias("ps"))
+    alone = F.when(F.col("symbol").isNull(), F.col("chunk_id"))
+    g = c.groupBy("symbol", alone.alias("alone")).agg(F.min("start_line").alias("min_start"), F.max("end_line").alias("max_end"), F.array_sort(F.collect_list(piece)).alias("ps"))
     zero = F.struct(F.lit("").alias("text"), F.lit(None).cast("int").alias("last"))
 
     def add(acc, x):

@@ -43,13 +43,6 @@ def S12_span(spark, sf_dir) -> DataFrame:
     return read_span(views.files(spark, sf_dir), 1, 2)
 
 
-@query("select page_id, url, case regexp_extract(url, '\\.([a-z]+)/', 1) when 'com' then 'commercial' when 'org' then 'organisation' else 'other' end as kind from pages where regexp_matches(url, '^https?://[^/]*/.*[0-9]+$')")
-def S4_glob_filter(spark, sf_dir) -> DataFrame:
-    u = F.col("url")
-    kind = F.regexp_extract(u, "\\.([a-z]+)/", 1)
-    return read(spark, sf_dir, "pages").where(u.rlike("^https?://[^/]*/.*[0-9]+$")).select("page_id", "url", F.when(kind == "com", "commercial").when(kind == "org", "organisation").otherwise("other").alias("kind"))
-
-
 @query("select doc_id, sha256(text) as hash, substring(sha256(source || '/' || lang || '/' || doc_id || text), 1, 16) as chunk_id, len(regexp_replace(text, '\\s', '', 'g'))::bigint as size from documents")
 def X1_hashes(spark, sf_dir) -> DataFrame:
     from .functions.columns import non_blank_length, short_hash
@@ -308,25 +301,9 @@ def T6_rerank(spark, sf_dir) -> DataFrame:
     return out.select(F.col("vec_id").cast("long").alias("vec_id"), "in_degree", F.round("final_score", 6).alias("final_score"))
 
 
-def _two_lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    ix = search.postings(views.chunks(spark, sf_dir))
-    return search.bm25(ix, "the"), search.bm25(ix, "of")
-
-
 _LISTS = f", ix as (select chunk_id, term, count(*) as tf, any_value(dl) as dl from (select chunk_id, len({_TERMS}) as dl, unnest({_TERMS}) as term from chunks) group by 1, 2), t as (select count(*) as n, avg(dl) as al from (select chunk_id, any_value(dl) as dl from ix group by 1)), f as (select term, count(*) as df from ix where term in ('the', 'of') group by 1), s as (select term, chunk_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al)) as score from ix join f using (term), t)"
 
 
-@query(_LISTS + " select distinct chunk_id from s", "chunks")
-def T10_hybrid_compat(spark, sf_dir) -> DataFrame:
-    return search.hybrid_compat(*_two_lists(spark, sf_dir))
-
-
-@query(_LISTS + ", m as (select term, max(score) as top from s group by 1), p as (select chunk_id, max(case when term = 'the' then score / top end) as lexical, max(case when term = 'of' then score / top end) as vector from s join m using (term) group by 1) select chunk_id, round(lexical, 6) as lexical, round(vector, 6) as vector, round(0.6 * coalesce(lexical, 0) + 0.4 * coalesce(vector, 0), 6) as score from p order by 0.6 * coalesce(lexical, 0) + 0.4 * coalesce(vector, 0) desc, chunk_id limit 10", "chunks")
-def T16_fusion(spark, sf_dir) -> DataFrame:
-    a, b = _two_lists(spark, sf_dir)
-    return search.fuse({"lexical": a, "vector": b}, {"lexical": 0.6, "vector": 0.4}, 10).select("chunk_id", *[F.round(c, 6).alias(c) for c in ("lexical", "vector", "score")])
-
-
 @query(", a as (select chunk_id from chunks where contains(content, 'blethe')), h as (select distinct src from edges join a on dst = chunk_id where relation = 'contains') select chunk_id, 1.0::double as score from a union all select distinct dst, 0.5::double from edges join h using (src) where relation = 'contains' and dst not in (select chunk_id from a)", "chunks", "edges")
 def T11_context(spark, sf_dir) -> DataFrame:
     c = views.chunks(spark, sf_dir)
@@ -334,11 +311,6 @@ def T11_context(spark, sf_dir) -> DataFrame:
     return search.with_context(c.where(F.col("content").contains("blethe")).select("chunk_id"), e)
 
 
-@query("select path as symbol, min(start_line) as min_start, max(end_line) as max_end, string_agg(content, chr(10) order by start_line, end_line, chunk_id, content) as text from chunks group by 1", "chunks")
-def T12_groups(spark, sf_dir) -> DataFrame:
-    return search.group_by_symbol(views.chunks(spark, sf_dir), views.edges(spark, sf_dir)).where("symbol is not null")
-
-
 @query(", walk as (select 'r1' as id, 0 as hop union select dst, hop + 1 from walk join edges on src = id where relation = 'defines' and hop < 2) select id, min(hop) as hop from walk group by 1", "edges")
 def G4_bfs(spark, sf_dir) -> DataFrame:
     return graph.bfs(views.edges(spark, sf_dir), "r1", "out", 2, ["defines"])[0]
@@ -368,11 +340,6 @@ def W3_first_five(spark, sf_dir) -> DataFrame:
     return s.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("start_line", "symbol_id")).cast("long")).select("path", "name", "n")
 
 
-@query("select event_id, ts, event_type from events order by ts desc, event_id limit 5")
-def K5_latest_commits(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), "event_id").limit(5)
-
-
 @query("select path, regexp_extract(path, '^(.*)/[^/]*$', 1) as module from files", "files")
 def X8_dirname(spark, sf_dir) -> DataFrame:
     return views.files(spark, sf_dir).select("path", dirname(F.col("path")).alias("module"))

@@ -62,6 +62,19 @@ def matches(path, globs) -> F.Column:
     return found
 
 
+#: Names of the languages as they are shown (fixed values).
+SHOWN = {"python": "Python", "javascript": "JavaScript", "typescript": "TypeScript", "rust": "Rust", "go": "Go", "java": "Java", "cpp": "Cpp", "c": "C", "ruby": "Ruby", "php": "Php", "csharp": "CSharp"}
+
+
+def language_from_name(name) -> F.Column:
+    """The language of that name in any case; `unknown` for others."""
+    return F.when(F.lower(name).isin(*SHOWN), F.lower(name)).otherwise("unknown")
+
+
+def shown(language) -> F.Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SHOWN.items() for x in kv]), language), F.lit("Unknown"))
+
+
 def language_of(path) -> F.Column:
     """The language of a path's extension, which is case-sensitive; null if unknown."""
     known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])

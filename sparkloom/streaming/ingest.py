@@ -18,8 +18,6 @@ def run(stream: DataFrame, index: Index, checkpoint: str):
     """Starts the query; files that a batch doesn't hold stay in the index."""
 
     def step(batch: DataFrame, _: int) -> None:
-        new = batch.drop("ts").dropDuplicates(["path"])
-        old = index.read("files").join(new.select("path"), "path", "left_anti")
-        index.update(old.unionByName(new))
+        index.update(batch.drop("ts").dropDuplicates(["path"]), partial=True)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

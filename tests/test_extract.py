@@ -85,3 +85,24 @@ def test_outline_and_item():
     assert "  F: load (L5-L7)" in extract.outline(extract.symbols(PY, "python"))
     assert extract.code_item(PY, "python", "Store.load").startswith("    def load")
     assert extract.code_item(PY, "python", "Other.load") is None
+
+
+def test_literals_that_hold_quotes_and_braces():
+    from sparkloom.operators.extract import mask, references, symbols
+
+    js = 'const s = /"/; function c() { d(); }\nconst t = x / 2 / y; const u = a.replace(/[/"]+\\//g, `n${f(`in${g(1)}`)} }`);\nfunction e() { return /}/; }\nfunction h() {}\n'
+    assert len(mask(js, "javascript")) == len(js)
+    assert {(s.name, s.start, s.end) for s in symbols(js, "javascript")} == {("c", 1, 1), ("e", 3, 3), ("h", 4, 4)}
+    assert {r.name for r in references(js, "javascript")} >= {"d", "f", "g", "replace"}
+    rust = 'fn a() { let s = r#"x " } fn no() {"#; b(s); }\nfn c<\'a>(x: &\'a str) { let y = br"\\"; }\nfn d() {}\n'
+    assert [s.name for s in symbols(rust, "rust")] == ["a", "c", "d"] and {r.name for r in references(rust, "rust")} == {"b"}
+
+
+def test_query_mode_has_every_definition(spark):
+    from sparkloom.operators.extract import extract_chunks, extract_errors
+
+    text = "import os\n\nclass A:\n    def run(self):\n        return 1\n"
+    f = spark.createDataFrame([("a.py", "python", text), ("b.py", "python", "def ("), ("c.txt", "text", "x")], "path string, language string, content string")
+    got = {(r["node_type"], r["start_line"], r["end_line"], r["content"]) for r in extract_chunks(f, ast=False).collect()}
+    assert got == {("class", 3, 5, "class A:\n    def run(self):\n        return 1\n"), ("function", 4, 5, "    def run(self):\n        return 1\n")}
+    assert {r["path"] for r in extract_errors(f).collect()} == {"b.py", "c.txt"}

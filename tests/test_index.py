@@ -24,7 +24,7 @@ def tree(tmp_path):
 
 
 def test_index_and_tools(spark, tree):
-    ix, stats = index_repo(spark, str(tree), index_dir=str(tree / ".codeindex"))
+    ix, stats = index_repo(spark, str(tree), index_dir=str(tree / ".loom"))
     assert stats == {"new": 2, "updated": 0, "removed": 0, "skipped": 0}
     assert {r["path"] for r in ix.read("files").collect()} == {"app/main.py", "lib/tools.py"}
     e = {(r["src"], r["dst"], r["relation"]) for r in ix.read("edges").collect()}
@@ -46,7 +46,7 @@ def test_index_and_tools(spark, tree):
     (tree / "lib/tools.py").write_text("def helper(x):\n    return x + 1\n")
     (tree / "app/extra.py").write_text("def extra():\n    return 1\n")
     (tree / "app/main.py").unlink()
-    _, stats = index_repo(spark, str(tree), index_dir=str(tree / ".codeindex"))
+    _, stats = index_repo(spark, str(tree), index_dir=str(tree / ".loom"))
     assert stats == {"new": 1, "updated": 1, "removed": 1, "skipped": 0}
     fresh, _ = index_repo(spark, str(tree), index_dir=str(tree / "other"))
     for n in ("files", "chunks", "symbols", "refs", "edges"):
@@ -54,7 +54,72 @@ def test_index_and_tools(spark, tree):
         assert rows(ix) == rows(fresh), n
     assert ix.commits().count() == 2
     ix.delete("app/extra.py")
-    assert ix.read("symbols").where("path = 'app/extra.py'").count() == 0
+    assert ix.read("symbols").where("path = 'app/extra.py'").count() == 0 and ix.read("files").count() == 1
+
+
+def test_update_leaves_other_buckets(spark, tmp_path):
+    from sparkloom.plans.index import Index, bucket_of
+
+    kind = "path string, language string, content string, hash string"
+    rows = [(f"m{i}.py", "python", f"def f{i}():\n    return {i}\n", f"h{i}") for i in range(12)] + [("bad.py", "python", "def (", "h"), ("x.zig", "zig", "fn", "h")]
+    ix = Index(spark, str(tmp_path / "ix"), buckets=4)
+    assert ix.update(spark.createDataFrame(rows, kind))["new"] == 14
+    assert {r["path"]: r["error"].split(":")[0] for r in ix.read("errors").collect()} == {"bad.py": "SyntaxError", "x.zig": "ValueError"}
+    before = ix._pointer()["tables"]["files"]
+    rows[3] = ("m3.py", "python", "def g():\n    return f1()\n", "new")
+    assert ix.update(spark.createDataFrame(rows[3:4], kind), partial=True) == {"new": 0, "updated": 1, "removed": 0, "skipped": 0}
+    after = ix._pointer()["tables"]["files"]
+    touched = spark.createDataFrame([("m3.py",)], "path string").select(bucket_of("path", 4)).first()[0]
+    assert {k for k in before if before[k] != after[k]} == {str(touched)}
+    assert ix.read("files").count() == 14 and {r["name"] for r in ix.read("symbols").collect()} == {f"f{i}" for i in range(12)} - {"f3"} | {"g"}
+    assert {(r["src"], r["dst"]) for r in ix.read("edges").where("relation = 'calls'").collect()} == {("m3.py::g", "m1.py::f1")}
+    # postings are stored; the vector index of all lists is exact
+    assert ix.read("postings").where("term = 'f1'").count() == 2
+    q = ix.read("chunks").where("path = 'm5.py'").first()["embedding"]
+    exact = [r["chunk_id"] for r in ix.nearest(q, 5).collect()]
+    ix.fit_vectors(3)
+    assert [r["chunk_id"] for r in ix.nearest(q, 5, 3).collect()] == exact and ix.nearest(q, 5, 1).first()["chunk_id"] == exact[0]
+
+
+def test_commands(spark, tree, monkeypatch):
+    from sparkloom.cli import run
+
+    class Echo:
+        def chat(self, messages):
+            return json.dumps({"answer": messages[-1]["content"][:2000]})
+
+    monkeypatch.chdir(tree)
+    call = lambda *a: run(spark, ["--root", str(tree), *a], Echo())
+    with pytest.raises(ValueError, match="no index"):
+        call("status")
+    assert call("search", "--regex", "return help.*", "--lang", "python", "--path", "app/**") == ["app/main.py:4:     return helper(1)"]
+    assert call("search", "--regex", "^x = ") == [] and call("search", "--regex", "--no-ignore", "^x = ") == ["skip.py:1: x = 1"]
+    assert call("index") == ["new 2, updated 0, removed 0, skipped 0"] and call("index", "--full") == ["new 0, updated 2, removed 0, skipped 0"]
+    assert call("status")[0].endswith("2 files") and len(call("status")) == 3
+    assert "helper (function) lib/tools.py" in call("search", "--symbol", "helper")
+    for mode in ("lexical", "semantic", "hybrid"):
+        assert any("helper" in x for x in call("search", "helper", "--mode", mode))
+    assert {"anchors:", "files:", "symbols:", "edges:"} <= set(call("search", "--smart", "helper")[0].split("\n"))
+    shown = call("graph", "--node", "lib/tools.py::helper", "--direction", "in", "--kinds", "calls")
+    assert "app/main.py::main -calls-> lib/tools.py::helper" in shown and not any(x.startswith("helper (") for x in shown[1:])
+    assert {n["id"] for n in json.loads(call("graph", "--node", "helper", "--json", "--file", "tools")[0])["nodes"]} >= {"lib/tools.py::helper"} 
+    with pytest.raises(ValueError, match="no node"):
+        call("graph", "--node", "nothing")
+    chunk = json.loads(as_rows(call("search", "--smart", "helper")[0], "anchors")[0])["chunk_id"]
+    assert json.loads(call("inspect", chunk)[0])["type"] == "chunk" and json.loads(call("inspect", "lib/tools.py::Kind")[0])["type"] == "class"
+    assert call("inspect", "nothing") == ["no node nothing"]
+    assert call("cat", "app/main.py")[0].startswith("--- app/main.py ---\nfrom lib") and call("explore", "lib") == ["lib/tools.py"]
+    assert "lib/tools.py" in call("architecture")[0] and "architecture" in call("architecture", "--mode", "deep")[0]
+    assert "Risk: low" in call("impact", "lib/tools.py", "3", "3")[0] and "helper (function)" in call("impact", "lib/tools.py", "1", "2")[0]
+    focus = json.loads(call("focus", "helper")[0].split("\n")[0])
+    assert focus["rank"] == 1 and any("app/main.py" in json.loads(x)["imported_by"] for x in call("focus", "helper")[0].split("\n"))
+    assert any("tools.py: helper, Kind" in x for x in call("map")) and "files 2" in call("debug") and "abilities" in call("explain")[0]
+    assert call("ask", "q") == ["q"]
+
+
+def as_rows(text, name):
+    at = text.split("\n")
+    return at[at.index(f"{name}:") + 1 :]
 
 
 def test_globs_and_spans(spark, tmp_path):

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sparkloom import queries
+from sparkloom import queries, source_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 
