@@ -144,22 +144,27 @@ def npy(tile: np.ndarray) -> bytes:
 def tiles(df: DataFrame, media: str, side: int = 32) -> DataFrame:
     """df with height, width, npy (a side x side uint8 NPY tile) and dhash; null where media can't be decoded."""
 
-    def make(column):
-        rows = []
-        for v in column:
-            try:
-                p = decode(v.as_py() or b"")
-                if not p.size:
-                    raise ValueError("no pixels")
-                rows.append((p.shape[0], p.shape[1], npy(np.rint(resize(p, side, side)).astype(np.uint8)), difference_hash(p)))
-            except ValueError:
-                rows.append((None, None, None, None))
-        return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string()))]
+    return append_columns(df, lambda column: _tiles((v.as_py() for v in column), side), _tile_schema(), media)
+
+
+def _tile_schema() -> T.StructType:
+    return T.StructType().add("height", "integer").add("width", "integer").add("npy", "binary").add("dhash", "string")
+
 
-    return append_columns(df, make, T.StructType().add("height", "integer").add("width", "integer").add("npy", "binary").add("dhash", "string"), media)
+def _tiles(media, side: int) -> list[pa.Array]:
+    rows = []
+    for v in media:
+        try:
+            p = decode(v or b"")
+            if not p.size:
+                raise ValueError("no pixels")
+            rows.append((p.shape[0], p.shape[1], npy(np.rint(resize(p, side, side)).astype(np.uint8)), difference_hash(p)))
+        except ValueError:
+            rows.append((None, None, None, None))
+    return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string()))]
 
 
-def store_texts(df: DataFrame, text: str = "text", side: int = 16) -> DataFrame:
+def store_texts(df: DataFrame, text: str = "text", side: int = 16, keep_text: bool = True) -> DataFrame:
     """df with each text's stored forms: n_bytes, pgm, and of that height, width, npy (a side x side tile) and dhash."""
 
     def make(column):
@@ -169,9 +174,10 @@ def store_texts(df: DataFrame, text: str = "text", side: int = 16) -> DataFrame:
             payload = np.zeros(max(WIDTH, -(-(z - a) // WIDTH) * WIDTH), np.uint8)
             payload[: z - a] = raw[a:z]
             out.append(encode_pgm(payload.reshape(-1, WIDTH)))
-        return [pa.array(np.diff(off)), pa.array(out, pa.large_binary()).cast(pa.binary())]
+        return [pa.array(np.diff(off)), pa.array(out, pa.binary()), *_tiles(out, side)]
 
-    return tiles(append_columns(df, make, T.StructType().add("n_bytes", "long").add("pgm", "binary"), text), "pgm", side)
+    schema = T.StructType([*T.StructType().add("n_bytes", "long").add("pgm", "binary").fields, *_tile_schema().fields])
+    return append_columns(df, make, schema, text, () if keep_text else (text,))
 
 
 def digests(stored: DataFrame) -> DataFrame:
@@ -188,5 +194,5 @@ def digests(stored: DataFrame) -> DataFrame:
     schema = T.StructType()
     for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string")):
         schema = schema.add(name, kind)
-    done = append_columns(stored, make, schema, "pgm")
-    return done.withColumn("npy_sha256", F.sha2("npy", 256)).withColumnRenamed("dhash", "feature").drop("pgm", "npy", "height", "width")
+    done = append_columns(stored.drop("height", "width"), make, schema, "pgm", ("pgm",))
+    return done.withColumn("npy_sha256", F.sha2("npy", 256)).withColumnRenamed("dhash", "feature").drop("npy")

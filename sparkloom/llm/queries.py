@@ -70,7 +70,7 @@ def op7_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_text_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_texts(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    stored = media.store_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return media.digests(table(stored, "media"))
 
 

@@ -63,20 +63,21 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     return big.join(F.broadcast(small) if small.count() <= limit else small, on, how)
 
 
-def append_columns(df: DataFrame, make, schema: T.StructType, text: str) -> DataFrame:
-    """df with the columns that make(text array) -> list of arrays gives, in one Arrow pass.
+def append_columns(df: DataFrame, make, schema: T.StructType, text: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with the columns that make(text array) -> list of arrays gives, in one Arrow pass, without those to drop.
 
-    A column of df that has the name of an added one is replaced.
+    A column of df that has the name of an added one is replaced. make gets about 4 MB at a time, or one longer value.
     """
-    names, added = df.columns, {f.name for f in schema.fields}
+    names, added = df.columns, {f.name for f in schema.fields} | set(drop)
     at = names.index(text)
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
     kept = [i for i, n in enumerate(names) if n not in added]
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + list(make(batch.column(at))), names=[f"c{i}" for i in kept] + [f.name for f in schema.fields])
+            for a, z in steps(buffers(batch.column(at))[1], 1 << 22):
+                part = batch.slice(a, z - a)
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + list(make(part.column(at))), names=[f"c{i}" for i in kept] + [f.name for f in schema.fields])
 
     out = T.StructType([T.StructField(f"c{i}", plain.schema[i].dataType) for i in kept] + schema.fields)
     return plain.mapInArrow(run, out).toDF(*[names[i] for i in kept], *[f.name for f in schema.fields])
@@ -103,12 +104,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and offsets (from 0) of a string array; null is empty."""
+    """Bytes (UTF-8 of strings) and offsets (from 0) of a string or binary array; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
+    raw = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if raw else pa.large_string())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if raw else "")
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
