@@ -1,6 +1,48 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
+from .mixing import DIMS, MixingParams
+
+
+def mixing_sql(p: MixingParams = MixingParams()) -> str:
+    """Raking to powers of the present shares and calibration, each sweep of each dimension a step of its own."""
+    steps: list[str] = []
+
+    def sweeps(name: str, start: str, column: str, total: str, bounded: bool) -> str:
+        at = start
+        for k in range(p.sweeps):
+            for d in DIMS:
+                now = f"sum(tokens * {column}) over (partition by {d})"
+                new = f"case when {now} > 0 then {column} * {d}_goal * {total} / {now} else {column} end"
+                steps.append(f"{name}_{k}_{d} as (select * replace ({f'least(1.0, {new})' if bounded else new} as {column}) from {at})")
+                at = f"{name}_{k}_{d}"
+        return at
+
+    goals = ", ".join(f"case when {d}_n > 0 then pow({d}_n / total.n, {p.alpha}) else 0 end / (select sum(pow(m.n / total.n, {p.alpha})) from (select sum(tokens) as n from cells group by {d}) m, total) as {d}_goal" for d in DIMS)
+    own = ", ".join(f"sum(tokens) over (partition by {d}) as {d}_n" for d in DIMS)
+    raked = sweeps("r", "started", "weight", "(select n from total)", False)
+    aim = "(select n * most from most)"
+    steps.append(f"most as materialized (select total.n, least(1.0, {', '.join(f'min(case when {d}_n > 0 and {d}_goal > 0 then {d}_n / {d}_goal end) / total.n' for d in DIMS)}) as most from {raked}, total group by total.n)")
+    steps.append(f"begun as (select *, least(1.0, weight * (select most from most)) as probability from {raked})")
+    last = sweeps("u", sweeps("b", "begun", "probability", aim, True), "probability", aim, False)
+    steps.append(f"done as (select *, least(1.0, probability / greatest(1.0, (select max(probability) from {last} where tokens > 0)) * {p.rate}) as p from {last})")
+    words = "[^\\x20\\x09-\\x0D]+"
+    return f"""
+with texts as (select doc_id, coalesce(text, '') as t, coalesce(source, '<null>') as source, coalesce(lang, '<null>') as lang, len(regexp_extract_all(coalesce(text, ''), '{words}'))::bigint as n_tokens from documents),
+celled as (select doc_id, source, lang, n_tokens, case when (length(t) - length(replace(t, '|', ''))) * 10 > n_tokens then 'tabular' when (length(t) - length(replace(t, '!', ''))) * 4 > n_tokens then 'shouting' when n_tokens < 100 then 'short' else 'prose' end as topic from texts),
+cells as materialized (select source, lang, topic, sum(n_tokens)::double as tokens from celled group by all),
+total as materialized (select greatest(sum(tokens), 1.0) as n from cells),
+sums as (select *, {own} from cells),
+started as (select sums.*, {goals}, 1.0::double as weight from sums, total),
+{", ".join(steps)}
+select doc_id, c.source, c.lang, c.topic, n_tokens, round(weight, 6) as weight, round(p, 6) as probability, ('0x' || substring(md5(coalesce(doc_id::varchar, '<null>') || ':{p.seed}'), 1, 8))::bigint / 4294967296.0 < p as sampled
+from celled c join done on done.source = c.source and done.lang = c.lang and done.topic = c.topic
+"""
+
+
 SQL: dict[str, str] = {
+    "op7_mix_to_targets": mixing_sql(),
     # sets of equal content are compared once; sets that reach the threshold share one of the rarest shingles of each
     "op10_setsketch_dedup": r"""
 with recursive words as (
