@@ -4,7 +4,6 @@ import zlib
 from collections import defaultdict
 
 import corpus_pipeline as cp
-from sparkloom.llm import mixing
 from sparkloom.llm.queries import byte_bpe
 from sparkloom.llm.shared import read
 from tests.llm.test_operators import brute_components, check_pieces
@@ -30,14 +29,6 @@ def test_stages(spark):
             assert set(new) == set(groups.values())
         elif name == "mixing":
             assert 0.5 < len(new) / len(old) < 1
-            celled = [mixing.with_cells(x).select("mix_tokens", *[f"mix_{d}" for d in mixing.DIMS]).collect() for x in (before, docs)]
-            totals = [sum(r["mix_tokens"] for r in c) for c in celled]
-            assert 0.4 < totals[1] / totals[0] < 0.7  # half of the tokens at least are asked for
-            for d in mixing.DIMS:  # every dimension comes nearer to its targets
-                own, got = ({v: sum(r["mix_tokens"] for r in c if r["mix_" + d] == v) / n for v in {r["mix_" + d] for r in celled[0]}} for c, n in zip(celled, totals, strict=True))
-                norm = sum(x**0.7 for x in own.values())
-                off = lambda share: sum(abs(share[v] - own[v] ** 0.7 / norm) for v in own)  # noqa: E731, B023
-                assert off(got) < 0.6 * off(own) + 0.02, (d, off(got), off(own))
         else:
             check_pieces(docs.collect(), old, 1024, byte_bpe())
         if new is not None:
