@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import corpus_pipeline as cp
+from sparkloom.llm import mixing
 from sparkloom.llm.queries import byte_bpe
 from sparkloom.llm.shared import read
 from tests.llm.test_operators import brute_components, check_pieces
@@ -11,6 +12,26 @@ from tests.llm.test_operators import brute_components, check_pieces
 SF = "/root/testdata/sf0.01"
 
 
+def check_shares(before, new):
+    """Expected shares are nearer to the targets than own ones in each dimension; the sample is within 5 standard deviations of them."""
+    p = mixing.MixingParams(least=0.5)
+    celled = cp.table(mixing.with_cells(before), "celled")
+    cells = cp.table(mixing.weights(celled, p), "cells")
+    rate = {tuple(r[d] for d in mixing.DIMS): r["probability"] for r in cells.collect()}
+    rows = [(r, r["mix_tokens"], rate[tuple(r[f"mix_{d}"] for d in mixing.DIMS)]) for r in celled.drop("text").collect()]
+    total, kept = sum(n * q for _, n, q in rows), sum(n for r, n, _ in rows if r["doc_id"] in new)
+    off = defaultdict(lambda: [0.0, 0.0])
+    for g in mixing.report(cells, p).collect():
+        if g["own"] or g["target"]:
+            off[g["dim"]][0] += abs(g["own"] - g["target"])
+            off[g["dim"]][1] += abs(g["expected"] - g["target"])
+        inside = lambda r: r[f"mix_{g['dim']}"] == g["value"]  # noqa: B023, E731
+        real = sum(n for r, n, _ in rows if r["doc_id"] in new and inside(r)) / kept
+        deviation = sum(q * (1 - q) * (n * (inside(r) - g["expected"])) ** 2 for r, n, q in rows) ** 0.5 / total
+        assert abs(real - g["expected"]) <= 5 * deviation + 1e-9
+    assert all(expected < 0.6 * own for own, expected in off.values()) and off.keys() == set(mixing.DIMS)
+
+
 def test_stages(spark):
     docs = read(spark, SF, "documents").select(*cp.COLUMNS)
     labels = {r["doc_id"]: r for r in read(spark, SF, "labels").collect()}
@@ -29,6 +50,7 @@ def test_stages(spark):
             assert set(new) == set(groups.values())
         elif name == "mixing":
             assert 0.5 < len(new) / len(old) < 1
+            check_shares(before, new)
         else:
             check_pieces(docs.collect(), old, 1024, byte_bpe())
         if new is not None:
