@@ -17,7 +17,7 @@ def learns(modulus: int, held: int):
 def byte_bpe() -> packing.Tokenizer:
     import public_tokenizers
 
-    return packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
