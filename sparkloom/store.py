@@ -30,6 +30,11 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df as a side of a join by sort and merge: parsed or decoded rows are far more than Spark's estimate from a file's size, so it could send them to the driver for a broadcast."""
+    return df.hint("merge")
+
+
 def _file(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -200,3 +200,15 @@ def test_tool_results_are_whole(spark):
 
     seen = ask(Long(None), Once("read_file", {"path": "a"}), "q").answer
     assert [json.loads(x)["id"] for x in seen.split("\n")] == list(range(3000)) and len(seen) > 8000
+
+
+def test_modules_are_found_in_paths_by_equal_parts(spark):
+    """A name asked for in more modules than are tried one by one, one asked for in few, and one in none."""
+    from sparkloom.operators.resolve import FEW_MODULES, holding
+
+    n = 3 * FEW_MODULES
+    modules = [("run", m) for k in range(n) for m in (f"lib/m{k}", f"m{k}.py", f"é{k}")] + [("run", "x" * 200), ("run", "aa"), ("few", "lib/m1"), ("few", "nowhere")]
+    symbols = [(t, f"{p}::{t}{c}", p) for t in ("run", "few", "none") for c in ("", "2") for k in range(n) for p in (f"lib/m{k}.py", f"app/é{k}.py", "a/aaaa.py")]
+    want = sorted({(t, m, p, f"{p}::{t}") for t, m in modules for s, _, p in symbols if s == t and m in p})
+    got = holding(spark.createDataFrame(modules, "target string, module string"), spark.createDataFrame(symbols, "target string, symbol_id string, to_path string"))
+    assert sorted(map(tuple, got.select("target", "module", "to_path", "symbol_id").collect())) == want
