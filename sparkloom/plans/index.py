@@ -24,7 +24,7 @@ from ..operators.intervals import line_nodes, symbol_chunks
 from ..operators.resolve import resolve
 from ..operators.search import postings
 from ..sources.repo import scan_repo
-from ..store import delete, read_text, subfolders, write_text
+from ..store import by_shuffle, delete, read_text, subfolders, write_text, written
 
 
 def branch_of(root: str) -> str:
@@ -51,12 +51,13 @@ def build_edges(symbols: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataF
     """All edges from the stored nodes and references; resolved anew each time, so none goes stale."""
     d1 = symbols.select(F.col("path").alias("src"), F.col("symbol_id").alias("dst"), F.lit("defines").alias("relation"))
     child = symbols.where("parent_scope is not null").select(symbol_id(F.col("path"), F.col("parent_scope")).alias("src"), F.col("symbol_id").alias("dst"))
-    d2 = child.join(symbols.select(F.col("symbol_id").alias("src")), "src", "left_semi").select("src", "dst", F.lit("defines").alias("relation"))
+    d2 = child.join(by_shuffle(symbols.select(F.col("symbol_id").alias("src"))), "src", "left_semi").select("src", "dst", F.lit("defines").alias("relation"))
     c = symbol_chunks(symbols, chunks).select(F.col("symbol_id").alias("src"), F.col("chunk_id").alias("dst"), F.lit("contains").alias("relation"))
     keyed = refs.withColumn("ref_id", F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in refs.columns]), 256)).dropDuplicates(["ref_id"])
+    keyed = written(keyed, "keyed")
     to = resolve(keyed, symbols).select("ref_id", "ref_kind", F.col("symbol_id").alias("dst"))
     at = line_nodes(keyed, symbols, chunks).select("ref_id", F.col("node").alias("src"))
-    r = to.join(at, "ref_id").select("src", "dst", F.when(F.col("ref_kind") == "call", "calls").otherwise("imports").alias("relation"))
+    r = to.join(by_shuffle(at), "ref_id").select("src", "dst", F.when(F.col("ref_kind") == "call", "calls").otherwise("imports").alias("relation"))
     return d1.union(d2).union(c).union(r).dropDuplicates(["src", "dst", "relation"])
 
 

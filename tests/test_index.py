@@ -212,3 +212,17 @@ def test_modules_are_found_in_paths_by_equal_parts(spark):
     want = sorted({(t, m, p, f"{p}::{t}") for t, m in modules for s, _, p in symbols if s == t and m in p})
     got = holding(spark.createDataFrame(modules, "target string, module string"), spark.createDataFrame(symbols, "target string, symbol_id string, to_path string"))
     assert sorted(map(tuple, got.select("target", "module", "to_path", "symbol_id").collect())) == want
+
+
+def test_edges_are_joined_without_a_broadcast_by_estimate(spark, tmp_path):
+    """Parsed rows come from far smaller files, so what Spark takes for small could be too much for the driver."""
+    from sparkloom.plans.index import build_edges
+
+    symbols = spark.createDataFrame([("a.py::C", "C", "class", "a.py", 1, 9, None), ("a.py::f", "f", "function", "a.py", 2, 3, "C")], "symbol_id string, name string, kind string, path string, start_line int, end_line int, parent_scope string")
+    chunks = spark.createDataFrame([("c1", "a.py", 1, 9)], "chunk_id string, path string, start_line int, end_line int")
+    refs = spark.createDataFrame([("a.py", "call", "f", None, None, 7)], "path string, ref_kind string, name string, alias string, context string, line int")
+    for name, rows in (("symbols", symbols), ("chunks", chunks), ("refs", refs)):
+        rows.write.parquet(str(tmp_path / name))
+    edges = build_edges(*(spark.read.parquet(str(tmp_path / n)) for n in ("symbols", "chunks", "refs")))
+    assert "BroadcastHashJoin" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, edges.collect())) == [("a.py", "a.py::C", "defines"), ("a.py", "a.py::f", "defines"), ("a.py::C", "a.py::f", "calls"), ("a.py::C", "a.py::f", "defines"), ("a.py::C", "c1", "contains"), ("a.py::f", "c1", "contains")]
