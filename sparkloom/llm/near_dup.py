@@ -43,6 +43,9 @@ class NearDupParams:
     block: int = 512
     #: Pairs whose log likelihood at the threshold is worse than the best by more are ruled out (5 sigma).
     max_loss: float = 12.5
+    #: Pairs that one step compares (or one group, if it has more), and pairs in one packed row.
+    step_pairs: int = 1 << 20
+    row_pairs: int = 1024
     #: At most so many candidate ids are broadcast to pick their texts; more are joined by a shuffle.
     broadcast_ids: int = 500_000
 
@@ -151,8 +154,9 @@ def _estimates(ra, rb, na, nb, p: NearDupParams) -> tuple[np.ndarray, np.ndarray
 def _bucket_pairs(members: DataFrame, p: NearDupParams, every: bool) -> DataFrame:
     """Plausible pairs of different components in one bucket, each in the first band that it shares.
 
-    Each member's best such partner as (a, b, est), or with `every` all pairs, packed: a row for each pair
-    of homes (ha <= hb) that a step has met, with the ids of its pairs in one binary.
+    Each member's best such partner as (a, b, est), or with `every` all pairs, packed: rows for each pair of homes
+    (ha <= hb) that a step has met, with the ids of p.row_pairs pairs at most in one binary. Spark reads and
+    writes thousands of rows at once, so longer ones would not fit its memory where a group is large.
 
     members: key, bi, bj, blk, band, id, n, comp, home, regs. Rows of (key, bi, bj) are together and sorted;
     a group holds two blocks at most, so one step's memory is bounded.
@@ -164,6 +168,7 @@ def _bucket_pairs(members: DataFrame, p: NearDupParams, every: bool) -> DataFram
         order = np.lexsort((hb, ha))
         a, b, ha, hb = a[order], b[order], ha[order], hb[order]
         first = np.flatnonzero(np.concatenate([[True], (ha[1:] != ha[:-1]) | (hb[1:] != hb[:-1])])) if len(a) else np.zeros(0, np.int64)
+        first = np.concatenate([np.arange(i, j, p.row_pairs) for i, j in zip(first, [*first[1:], len(a)], strict=True)]) if len(a) else first
         both = np.stack([a, b], 1)
         return pa.RecordBatch.from_arrays([pa.array(ha[first], pa.int64()), pa.array(hb[first], pa.int64()), pa.array([both[i:j].tobytes() for i, j in zip(first, [*first[1:], len(a)], strict=True)], pa.binary())], names=["ha", "hb", "pairs"])
 
@@ -204,6 +209,18 @@ def _bucket_pairs(members: DataFrame, p: NearDupParams, every: bool) -> DataFram
         held: list[pa.RecordBatch] = []
         rows = 0
 
+        def parts(t: pa.Table):
+            """t cut between groups, so that a part has about p.step_pairs pairs at most."""
+            c = [t.column(x).to_numpy() for x in ("key", "bi", "bj")]
+            first = np.flatnonzero(np.concatenate([[True], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])]))
+            size = np.diff(np.append(first, t.num_rows))
+            at = 0
+            pairs = np.cumsum(size * (size - 1) // 2)
+            while at < len(first):
+                end = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + p.step_pairs, side="right")))
+                yield t.slice(first[at], (first[end] if end < len(first) else t.num_rows) - first[at])
+                at = end
+
         def work(t: pa.Table):
             c = [t.column(x).to_numpy() for x in ("key", "bi", "bj")]
             new = np.concatenate([[False], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])])
@@ -218,23 +235,21 @@ def _bucket_pairs(members: DataFrame, p: NearDupParams, every: bool) -> DataFram
             if not all_of_it:  # the last group may go on in the next batch
                 while cut and all(x[cut - 1] == x[-1] for x in k):
                     cut -= 1
-            done = work(t.slice(0, cut)) if cut else None
             rest = t.slice(cut)
             held, rows = rest.to_batches(), rest.num_rows
-            return done
+            for part in parts(t.slice(0, cut)) if cut else ():
+                out = work(part)
+                if out is not None:
+                    yield out
 
         for b in batches:
             if b.num_rows:
                 held.append(b)
                 rows += b.num_rows
                 if rows >= 8192:
-                    out = flush(False)
-                    if out is not None:
-                        yield out
+                    yield from flush(False)
         if held:
-            out = flush(True)
-            if out is not None:
-                yield out
+            yield from flush(True)
 
     columns = ["key", "bi", "bj", "blk", "band", "id", "n", "comp", "home", "regs"]
     schema = "ha long, hb long, pairs binary" if every else "a long, b long, est double"

@@ -138,6 +138,22 @@ def test_near_dup_awkward(awkward, no_rows):
     assert near_dup.link(no_rows).count() == 0
 
 
+def test_near_dup_packs_pairs_in_short_rows(spark):
+    """All pairs of two large groups, once each, in rows that don't grow with the groups, whatever a step holds."""
+    n = 60
+    regs = np.arange(160, dtype=np.uint16).tobytes()
+    rows = [(g, 0, 0, 0, 0, 1000 * g + i, 100, 1000 * g + i, 7 + g, regs) for g in range(3) for i in range(n)]
+    members = spark.createDataFrame(rows, "key long, bi int, bj int, blk int, band int, id long, n long, comp long, home long, regs binary")
+    for step in (1, 1 << 12, 1 << 20):
+        p = near_dup.NearDupParams(row_pairs=100, step_pairs=step)
+        found = near_dup._bucket_pairs(members, p, True).collect()
+        pairs = [tuple(x) for r in found for x in np.frombuffer(r["pairs"], np.int64).reshape(-1, 2).tolist()]
+        assert sorted(pairs) == [(1000 * g + i, 1000 * g + k) for g in range(3) for i in range(n) for k in range(i + 1, n)]
+        assert max(len(r["pairs"]) for r in found) <= 16 * p.row_pairs
+        best = near_dup._bucket_pairs(members, p, False).collect()
+        assert {r["a"] for r in best} == {1000 * g + i for g in range(3) for i in range(n)}
+
+
 def test_setsketch_estimates_and_merges():
     p = near_dup.NearDupParams(bands=64, rows=8)
     a, b = np.arange(0, 900, dtype=np.uint64), np.arange(100, 1000, dtype=np.uint64)
